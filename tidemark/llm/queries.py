@@ -1,4 +1,4 @@
-"""Queries ``opN_<name>`` over the whole of their tables."""
+"""Queries ``opN_<name>`` over the whole of their tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -15,5 +15,21 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output,)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    return exact_dedup(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_output, op7_exact_dedup)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_dedup": """
+        WITH d AS (
+            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents
+        )
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY t)""",
+}
