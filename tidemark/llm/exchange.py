@@ -6,15 +6,14 @@ read their answers from the shared folder when they scan again. Only hashes and
 bits move, no text, and nothing of it passes the driver or a broadcast.
 
 The scan must give the same partitions both times: :func:`pinned` writes
-anything but a plain scan as a table first, :func:`fixed_splits` keeps the
-splits from following the number of live executors, and a checksum in every
+anything but a plain scan as a table first, and :func:`fix_splits` keeps the
+splits from following the number of live executors; a checksum in every
 answer makes a task fail rather than use answers to other rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -110,18 +109,11 @@ def pinned(df: DataFrame) -> DataFrame:
     return df if plain and df.inputFiles() else cut(df, "pinned")
 
 
-@contextmanager
-def fixed_splits(spark: SparkSession) -> Iterator[None]:
-    """File scans inside have splits that don't depend on which executors live."""
+def fix_splits(spark: SparkSession) -> None:
+    """Keep file splits from depending on how many executors live (stays set)."""
     key = "spark.sql.files.minPartitionNum"
-    old = spark.conf.get(key, None)
-    if old is None:
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        if old is None:
-            spark.conf.unset(key)
 
 
 def n_partitions(df: DataFrame) -> int:
@@ -210,4 +202,4 @@ def messages(sender: int, chunk: int, values: np.ndarray, bounds: np.ndarray, ex
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["sender", "chunk", "bucket", "n", "payload"])
 
 
-__all__ = ["answered", "bucket_bounds", "checksum", "drop_path", "exchange", "fixed_splits", "golomb_decode", "golomb_encode", "messages", "n_partitions", "pack_bits", "packed_size", "pinned", "read_replies", "split_by_owner", "unpack_bits"]
+__all__ = ["answered", "bucket_bounds", "checksum", "drop_path", "exchange", "fix_splits", "golomb_decode", "golomb_encode", "messages", "n_partitions", "pack_bits", "packed_size", "pinned", "read_replies", "split_by_owner", "unpack_bits"]

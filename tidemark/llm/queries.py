@@ -15,13 +15,19 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_token_output, op3_substring_dedup, op7_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
