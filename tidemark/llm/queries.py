@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_digest
+
+    return secret_digest(documents(spark, sf_dir))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,15 +27,43 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).drop("kept")
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_report
+
+    return mix_report(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op3_substring_dedup, op7_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_output, op3_substring_dedup, op4_mix_sources, op7_exact_dedup)}
+
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(kind: int, name: str, pattern: str, group: int, least: int) -> str:
+    return f"""
+        SELECT doc_id, n, {kind} AS k, '{name}' AS kind, {least} AS least, regexp_extract_all(t, '{pattern}', 0) AS m,
+               regexp_extract_all(t, '{pattern}', {group}) AS g, string_split_regex(t, '{pattern}') AS p FROM d"""
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS t FROM documents),
+        a AS ({_matches(1, "assign", _ASSIGN, 2, 12)} UNION ALL {_matches(2, "access", "AKIA[A-Z0-9]+", 0, 18)}
+              UNION ALL {_matches(3, "hex", "[0-9a-f]+", 0, 16)}),
+        b AS (SELECT n, k, kind, least, unnest(m) AS m, unnest(g) AS g, unnest(p[1:len(m)]) AS p, unnest(range(len(m))) AS i FROM a),
+        c AS (SELECT n, k, kind, least, length(m) AS size, length(g) AS held,
+                     sum(length(p) + length(m)) OVER (PARTITION BY n, k ORDER BY i) AS stop FROM b),
+        s AS (SELECT n, count(*) FILTER (k = 1) AS n_assign, count(*) FILTER (k = 2) AS n_access, count(*) FILTER (k = 3) AS n_hex,
+                     string_agg(kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, k) AS spans
+              FROM c WHERE held >= least GROUP BY n)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN s USING (n)""",
     "op7_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
