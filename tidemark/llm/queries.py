@@ -33,6 +33,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(documents(spark, sf_dir))
 
 
+def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chat_report
+
+    return chat_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -45,7 +51,39 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_output, op3_substring_dedup, op4_mix_sources, op6_minhash_near_dedup, op7_exact_dedup)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_ids
+
+    return language_ids(documents(spark, sf_dir))
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_report
+
+    return pii_report(documents(spark, sf_dir))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_token_output,
+        op3_substring_dedup,
+        op4_mix_sources,
+        op5_chat_rotation,
+        op6_minhash_near_dedup,
+        op7_exact_dedup,
+        op8_language_id,
+        op9_pii_pseudonyms,
+        op10_decontaminate,
+    )
+}
 
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -78,4 +116,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op5_chat_rotation": """
+        WITH l AS (
+            SELECT conv_id, coalesce(turn // 512, 0) AS segment, turn, coalesce(nullif(role, ''), 'unknown') AS role,
+                   replace(replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>') AS text,
+                   row_number() OVER (ORDER BY conv_id, turn NULLS FIRST, role, text) AS n
+            FROM conversations
+        ),
+        p AS (SELECT DISTINCT conv_id, role AS perspective FROM l WHERE role <> 'system'),
+        r AS (
+            SELECT l.conv_id, perspective, segment, n, role = perspective AS mine,
+                   CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+                        ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
+                   text || '<|end|>' || chr(10) AS body
+            FROM l JOIN p ON l.conv_id IS NOT DISTINCT FROM p.conv_id
+        ),
+        o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY n) AS stop FROM r)
+        SELECT conv_id, perspective, segment, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
+               coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY n) FILTER (mine), '') AS mask
+        FROM o GROUP BY conv_id, perspective, segment""",
 }
