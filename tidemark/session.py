@@ -22,3 +22,17 @@ def get_session(app: str = "tidemark", cpus: int | None = None, shuffle_partitio
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def settle(df):
+    """Cut lineage through a checkpoint in the folder that executors share.
+
+    The folder is the one in ``spark.checkpoint.dir``; a local one is made only
+    where the session has none.
+    """
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint(eager=True)
