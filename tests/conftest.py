@@ -3,7 +3,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(_HERE))
+#: Workers import the package and functions of the test modules.
+os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(_HERE), _HERE, os.path.join(_HERE, "llm"), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")

@@ -27,7 +27,7 @@ def build_graph(store: Store, extractor: Callable[[str, str], dict], version: st
     entities = G.upsert(store.read("entities").select("id", "canonical_name", "normalized_name", "type", "embedding", "created_at"), _full(seeds), ("normalized_name", "type"))
     ids = settle(G.resolve(named, entities, store.read("entity_aliases")))
     names = named.join(ids, ["normalized_name", "type"])
-    fresh = names.join(ids.filter("how = 'new'").select("entity_id"), "entity_id", "left_semi").groupBy("entity_id", "normalized_name", "type").agg(F.min("name").alias("canonical_name"))
+    fresh = names.join(ids.filter("how = 'new'").select("entity_id"), "entity_id", "left_semi").groupBy("entity_id", "normalized_name", "type").agg(F.mode("name", True).alias("canonical_name"))
     entities = settle(G.upsert(entities, _full(fresh.withColumnRenamed("entity_id", "id")), ("normalized_name", "type")))
     alias = names.select("entity_id", F.explode("aliases").alias("alias")).withColumn("normalized_alias", normalise_name("alias")).dropDuplicates(["normalized_alias", "entity_id"])
     mention = names.groupBy("chunk_id", "entity_id").agg(F.count("*").cast("int").alias("mentions"))

@@ -9,7 +9,7 @@ def _schema(**fields: tuple[T.DataType, bool]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, null) for name, (kind, null) in fields.items()])
 
 
-_S, _I, _F, _TS, _V = T.StringType(), T.IntegerType(), T.FloatType(), T.TimestampType(), T.ArrayType(T.FloatType(), False)
+_S, _I, _F, _TS, _V = T.StringType(), T.IntegerType(), T.FloatType(), T.TimestampType(), T.ArrayType(T.FloatType())
 PROPERTIES = T.StructType([T.StructField("multiplier", T.DoubleType()), T.StructField("method", _S)])
 
 TABLES: dict[str, T.StructType] = {
