@@ -62,8 +62,12 @@ def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass")
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteConv:
-    """Adam on the cross-entropy; gradients pass each filter at its maximum only."""
+def train(texts: list[str], langs: list[str], epochs: int = 8, least_steps: int = 700, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteConv:
+    """Adam on the cross-entropy; gradients pass each filter at its maximum only.
+
+    Few rows are gone through more often, until ``least_steps`` batches.
+    """
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(texts) // batch))))
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     y = np.array([names.index(v) for v in langs])
