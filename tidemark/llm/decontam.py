@@ -115,7 +115,7 @@ def find_items(text: str, machine, ready: list[tuple[str, int]]) -> dict[int, tu
     return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.07, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, allowed: a row for each document and item it holds."""
     import pyarrow as pa
 
