@@ -135,4 +135,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT conv_id, perspective, segment, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
                coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY n) FILTER (mine), '') AS mask
         FROM o GROUP BY conv_id, perspective, segment""",
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d),
+        k AS (
+            SELECT *, string_agg(word, ' ') OVER ahead AS s, count(*) OVER ahead AS size FROM w
+            WINDOW ahead AS (PARTITION BY n ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+        ),
+        f AS (SELECT s, min(doc_id) AS first FROM k WHERE size = 13 GROUP BY s),
+        m AS (SELECT k.n, pos, word, size = 13 AND first < doc_id AS again FROM k LEFT JOIN f ON k.s = f.s AND size = 13),
+        c AS (SELECT n, pos, word, coalesce(bool_or(again) OVER (PARTITION BY n ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone FROM m),
+        g AS (SELECT n, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY n)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (n)""",
+    "op6_minhash_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, row_number() OVER () AS n,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ),
+        w AS (SELECT n, len(ws) AS words, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d),
+        k AS (
+            SELECT n, words, pos, string_agg(word, ' ') OVER ahead AS s, count(*) OVER ahead AS size FROM w
+            WINDOW ahead AS (PARTITION BY n ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+        ),
+        e AS (SELECT DISTINCT n, s FROM k WHERE size = 5 OR words < 5 AND pos = 0),
+        z AS (SELECT n, count(*) AS size FROM e GROUP BY n),
+        p AS (SELECT a.n AS a, b.n AS b, count(*) AS same FROM e a JOIN e b ON a.s = b.s AND a.n < b.n GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN z x ON x.n = a JOIN z y ON y.n = b WHERE 100 * same >= 85 * (x.size + y.size - same)),
+        both_ AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT n AS a, n AS b FROM d UNION SELECT r.a, both_.b FROM r JOIN both_ ON both_.a = r.b),
+        c AS (SELECT r.a AS n, min(doc_id) AS component_id FROM r JOIN d ON d.n = r.b GROUP BY r.a)
+        SELECT doc_id, coalesce(z.size, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN c USING (n) LEFT JOIN z USING (n)""",
 }
