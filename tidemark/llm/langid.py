@@ -15,7 +15,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,6 @@ from pyspark.sql import functions as F
 
 LENGTH, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 _WIDEST = max(WIDTHS)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -58,6 +56,10 @@ class ByteConv:
         return np.concatenate(parts)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(c.isalpha() for c in text)
+
+
 def _bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass")
 
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, train_rows: int = 6000, id_col: str = "doc_id", text_co
 
 
 def identify(docs: DataFrame, model: ByteConv | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and every other column of ``docs`` but the texts' probabilities."""
+    """doc_id, lang_pred, score for every row."""
     import pyarrow as pa
 
     def classify(batches):
@@ -152,7 +154,7 @@ def identify(docs: DataFrame, model: ByteConv | None, id_col: str = "doc_id", te
 
             for k, text in enumerate(texts):
                 text = text.as_py()
-                if model is None or not text or not _LETTER.search(text):
+                if model is None or not has_letter(text):
                     continue
                 pending.append((k, _bytes(text)))
                 size += len(pending[-1][1])
@@ -188,7 +190,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.35, text_col: str = "t
             kept = []
             for text in batch.column(at):
                 text = text.as_py()
-                if model is None or not text or not _LETTER.search(text):
+                if model is None or not has_letter(text):
                     kept.append(False)
                     continue
                 raw = _bytes(text)
