@@ -5,9 +5,10 @@ edits. Split into ``k + 1`` pieces, one of them occurs unchanged in any such
 passage. All pieces are searched for at once (Aho-Corasick); around each hit,
 Myers' bit-parallel distance of the whole item decides.
 
-The items are a stated query set. They are matched in blocks of at most
-``block_items``, so what is sent to a task has a bound whatever their number;
-each block is one scan of the documents, and nothing is shuffled.
+The items are a stated query set. They are matched in blocks of about
+``block_items`` and ``block_chars``, so what is sent to a task has a bound
+whatever their number; each block is one scan of the documents, and nothing is
+shuffled.
 
 Semantics: both sides are lower-cased and every run of white space and ASCII
 punctuation is one space; null or empty texts and items match nothing; items
@@ -115,14 +116,15 @@ def find_items(text: str, machine, ready: list[tuple[str, int]]) -> dict[int, tu
     return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1, block_items: int = 20_000, block_chars: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, allowed: a row for each document and item it holds."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     queries = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).filter("t is not null")
-    blocks = max(1, math.ceil(queries.count() / block_items))
+    total = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("size")).first()
+    blocks = max(1, math.ceil(total.n / block_items), math.ceil(total.size / block_chars))
     schema, names = "doc_id long, item_id long, distance int, allowed int", ["doc_id", "item_id", "distance", "allowed"]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
     out = spark.createDataFrame([], schema)
