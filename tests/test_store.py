@@ -68,6 +68,21 @@ def test_retrieve(built):
         R.validate("x" * 2001)
 
 
+def test_single_arms(built):
+    store, _, _ = built
+    top = R.semantic_search(store, "Aria singer stone", 1).first()
+    assert top.document_title == "Aria" and top.ordinal == 0 and 0 < top.similarity <= 1
+    assert [r.document_title for r in R.keyword_search(store, "heavy Bex").collect()] == ["Bex"]
+    entities, chunks = R.graph_expand(store, [top.chunk_id])
+    hops = {r.canonical_name.lower(): r.hops for r in entities.collect()}
+    assert hops["aria"] == 0 and hops["northland"] == 1
+    assert {r.is_seed for r in chunks.collect()} == {True, False}
+    ids = [r.entity_id for r in entities.filter("lower(canonical_name) = 'aria'").collect()]
+    assert {r.line.split("--")[1] for r in R.graph_facts(store, ids).collect()} == {"evolves_into(stone)", "has_type"}
+    assert {r.step[0] for r in R.graph_trace(store, "Aria singer").collect()} == set("1234")
+    assert R.graph_expand(store, [])[1].count() == 0
+
+
 def test_change_and_removal(spark, built, tmp_path):
     store, _, _ = built
     before = {r.source_uri: r.id for r in store.read("documents").collect()}
