@@ -3,7 +3,8 @@
 A test item may differ from a passage by up to ``k = floor(error_rate * length)``
 edits. Split into ``k + 1`` pieces, one of them occurs unchanged in any such
 passage. All pieces are searched for at once (Aho-Corasick); around each hit,
-Myers' bit-parallel distance of the whole item decides.
+Myers' bit-parallel distance decides, of growing parts of the item and at last
+of the whole.
 
 The items are a stated query set. They are matched in blocks of about
 ``block_items`` and ``block_chars``, so what is sent to a task has a bound
@@ -34,21 +35,47 @@ def normalise(text: str | None) -> str:
     return f" {b' '.join(words).decode('latin-1')} " if words else ""
 
 
-def pieces(item: str, k: int) -> list[tuple[int, str]]:
-    """``k + 1`` consecutive pieces of nearly equal length, with their offsets."""
-    cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
+def pieces(item: str, k: int) -> list[tuple[int, str, list[tuple[int, int, int]]]]:
+    """``k + 1`` consecutive pieces: (offset, piece, the larger spans to try in turn).
 
+    A span that may hold ``e`` edits is halved into spans that may hold ``l`` and
+    ``r`` with ``l + r + 1 = e``: if both held more, the whole would. So along the
+    spans from some unchanged piece to the item all budgets are kept, and a stray
+    hit is found out on a short span.
+    """
+    out: list[tuple[int, str, list[tuple[int, int, int]]]] = []
 
-def myers(item: str, text: str, k: int) -> tuple[int, int] | None:
-    """(least distance of ``item`` to a substring of ``text``, its end) if at most ``k``."""
-    m = len(item)
+    def split(a: int, b: int, e: int, above: list[tuple[int, int, int]]) -> None:
+        if not e:
+            out.append((a, item[a:b], above))
+            return
+        left = (e - 1) // 2
+        middle = a + (b - a) * (left + 1) // (e + 1)
+        split(a, middle, left, [(a, b, e), *above])
+        split(middle, b, e - 1 - left, [(a, b, e), *above])
+
+    split(0, len(item), k, [])
+    return out
+
+
+def item_masks(item: str) -> dict[str, int]:
+    """Bit i of a character's mask: it is the item's i-th."""
     at: dict[str, int] = {}
     for i, c in enumerate(item):
         at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def myers(item: str, text: str, k: int, masks: dict[str, int] | None = None) -> tuple[int, int] | None:
+    """(least distance of ``item`` to a substring of ``text``, its end) if at most ``k``."""
+    m = len(item)
+    at = masks if masks is not None else item_masks(item)
     mask, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best = mask, 0, m, None
+    most = len(text) + k
     for j, c in enumerate(text):
+        if best is None and score + j > most:
+            break
         eq = at.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -77,8 +104,9 @@ def _automaton(name: str, items: list[tuple[int, str]], error_rate: float):
         for n, (_, item) in enumerate(items):
             k = math.floor(error_rate * (len(item) - 2))
             ready.append((item, k))
-            for offset, piece in pieces(item, k):
-                where.setdefault(piece, []).append((n, offset))
+            for offset, piece, above in pieces(item, k):
+                spans = [(offset - a, b - offset, e, item[a:b], item_masks(item[a:b])) for a, b, e in above]
+                where.setdefault(piece, []).append((n, spans))
         for piece, uses in where.items():
             machine.add_word(piece, (len(piece), uses))
         if where:
@@ -87,32 +115,22 @@ def _automaton(name: str, items: list[tuple[int, str]], error_rate: float):
     return _ready[name]
 
 
-def find_items(text: str, machine, ready: list[tuple[str, int]]) -> dict[int, tuple[int, int, int]]:
-    """Number of each item found in normalised ``text``: (distance, start of the window, end)."""
-    spans: dict[int, list[tuple[int, int]]] = {}
+def find_items(text: str, machine, ready: list[tuple[str, int]]) -> dict[int, int]:
+    """Distance of each item, by number, that occurs in normalised ``text``."""
+    found: dict[int, int] = {}
     for end, (size, uses) in machine.iter(text):
-        for n, offset in uses:
-            item, k = ready[n]
-            a = end + 1 - size - offset - k
-            spans.setdefault(n, []).append((max(0, a), a + len(item) + 2 * k))
-    found = {}
-    for n, windows in spans.items():
-        item, k = ready[n]
-        exact = text.find(item)
-        if exact >= 0:
-            found[n] = (0, exact, exact + len(item))
-            continue
-        windows.sort()
-        merged = [list(windows[0])]
-        for a, b in windows[1:]:
-            if a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
+        at = end + 1 - size
+        for n, spans in uses:
+            if found.get(n) == 0:
+                continue
+            distance = 0
+            for before, after, e, part, masks in spans:
+                hit = myers(part, text[max(0, at - before - e) : at + after + e], e, masks)
+                if hit is None:
+                    break
+                distance = hit[0]
             else:
-                merged.append([a, b])
-        for a, b in merged:
-            hit = myers(item, text[a:b], k)
-            if hit and (n not in found or hit[0] < found[n][0]):
-                found[n] = (hit[0], max(a, a + hit[1] - len(item) - k), a + hit[1])
+                found[n] = min(distance, found.get(n, distance))
     return found
 
 
@@ -141,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1,
                     if not (some and text):
                         continue
                     best: dict = {}
-                    for n, (distance, _, _) in find_items(text, machine, ready).items():
+                    for n, distance in find_items(text, machine, ready).items():
                         item_id = items[n][0]
                         if item_id not in best or distance < best[item_id][0]:
                             best[item_id] = (distance, ready[n][1])
