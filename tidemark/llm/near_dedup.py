@@ -30,6 +30,8 @@ from .wordhash import mix as scramble
 from .wordhash import text_words, windows
 
 SHINGLE = 5
+#: A hub with more pairs is split: copies of its set go with parts of the pairs.
+HUB_PAIRS = 1000
 _STRIDE = 0x9E3779B97F4A7C15
 
 
@@ -115,7 +117,11 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those at or above the similarity."""
+    """Of pairs (a, b) of classes, those at or above the similarity.
+
+    A hub ``b`` may be in a third of all pairs, so its pairs are dealt out to
+    parts of about ``HUB_PAIRS``, each with a copy of the hub's set.
+    """
     import pyarrow as pa
 
     def test(batches):
@@ -130,7 +136,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(p) + len(q) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
+    hot = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("parts")).filter("parts > 1"), "near-hot")
+    parts = F.coalesce("parts", F.lit(1))
+    keyed = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
+    hubs = sets.join(hot.withColumnRenamed("b", "class"), "class", "left").select(F.col("class").alias("b"), F.col("set").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))).alias("part"))
+    both = keyed.join(hubs, ["b", "part"]).join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(test, "a binary, b binary")
 
 
