@@ -136,10 +136,10 @@ def test_fact_lines(spark):
 
 
 def test_matchups(spark):
-    typed = spark.createDataFrame([("z", "Fire"), ("z", "Flying")], "entity_id string, type string")
-    names = spark.createDataFrame([("z", "Drake")], "id string, canonical_name string")
+    typed = spark.createDataFrame([("z", "Water"), ("z", "Ground")], "entity_id string, type string")
+    names = spark.createDataFrame([("z", "Newt")], "id string, canonical_name string")
     line = W.matchup_lines(typed, type_chart(spark), names).first().line
-    assert line == "Drake (Fire/Flying) takes 4x from Rock; 2x from Electric, Water; 0.5x from Fairy, Fighting, Fire, Steel; 0.25x from Bug, Grass; 0x from Ground"
+    assert line == "Newt (Ground/Water) takes 4x from Grass; 0.5x from Fire, Poison, Rock, Steel; 0x from Electric"
 
 
 def test_orphans_and_cascade(spark, chain):
