@@ -233,7 +233,7 @@ def test_near(spark):
     assert rows(near_dedup.near_duplicates(empty(spark))) == []
 
 
-def test_near_chains_and_groups(spark):
+def test_near_chains_and_groups(spark, monkeypatch):
     rng = random.Random(9)
     docs, n = [], 0
     for g in range(4):
@@ -247,6 +247,7 @@ def test_near_chains_and_groups(spark):
     want = plain_near(docs)
     assert len({r[2] for r in want}) < len(docs)
     for rounds in (0, 3):
+        monkeypatch.setattr(near_dedup, "HUB_PAIRS", 1000 if rounds else 3)
         assert rows(near_dedup.near_duplicates(documents(spark, docs), star_rounds=rounds)) == want
 
 
