@@ -33,10 +33,7 @@ def expand(seeds: DataFrame, edges: DataFrame, options: WalkOptions = WalkOption
     start = seeds.groupBy("entity_id").agg(F.sum("mentions").alias("weight")).select("entity_id", F.lit(0).alias("hops"), F.col("weight").cast("long"), F.lit(1.0).cast("float").alias("confidence"))
 
     def cheapest(rows: DataFrame) -> DataFrame:
-        if budget is None:
-            return rows
-        n = F.row_number().over(Window.orderBy(F.desc("weight"), "entity_id"))
-        return rows.withColumn("_n", n).filter(F.col("_n") <= budget).drop("_n")
+        return rows if budget is None else rows.orderBy(F.desc("weight"), "entity_id").limit(budget)
 
     frontier = settle(cheapest(start))
     visited = frontier
