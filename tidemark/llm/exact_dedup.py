@@ -100,7 +100,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     X.fix_splits(spark)
     bounds = X.bucket_bounds(BITS, X.n_partitions(plain))
-    path = X.exchange(plain.select("t"), send, own, "dedup-replies")
+    path = X.exchange(plain.select("t"), send, own, len(bounds) - 1, "dedup-replies")
     scan = cut(plain.mapInArrow(resolve, "kind int, i long, sha binary, n long, keep long, body binary"), "dedup-rows", "kind")
     drop_path(spark, path)
     same = scan.filter("kind = 2").groupBy("sha", "body").agg(F.sum("n").alias("n"), F.max("keep").alias("keep"))

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import cut, drop_path, fresh_path, open_fs
 from .pfor import pack_groups, unpack_groups
@@ -123,9 +124,11 @@ def n_partitions(df: DataFrame) -> int:
 # ---------------------------------------------------------------- exchange
 
 
-def exchange(source: DataFrame, send: Callable, own: Callable, name: str) -> str:
+def exchange(source: DataFrame, send: Callable, own: Callable, owners: int, name: str) -> str:
     """Run senders and owners; the path of the table of replies by sender.
 
+    Each of the ``owners`` buckets is a partition of its own, so none has two.
+
     ``send`` maps Arrow batches to batches of MESSAGE; ``own`` takes a list of
     (n, payload) of one bucket, with the bucket, and gives (checksum, bit array)
     for each of them.
@@ -151,7 +154,7 @@ def exchange(source: DataFrame, send: Callable, own: Callable, name: str) -> str
         )
 
     path = fresh_path(spark, name)
-    replies = source.mapInArrow(send, MESSAGE).groupBy("bucket").applyInArrow(answer, REPLY)
+    replies = source.mapInArrow(send, MESSAGE).repartitionById(owners, F.col("bucket")).groupBy("bucket").applyInArrow(answer, REPLY)
     replies.repartition("sender").write.partitionBy("sender").parquet(path)
     return path
 

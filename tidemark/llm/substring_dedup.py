@@ -254,6 +254,6 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_words: int = 2_000_
     bits = min(60, 34 + (senders * chunk_words // 2_000_000 * 4).bit_length())
     owners = owners or max(8, 2 * senders)
     bounds, wide = X.bucket_bounds(bits, owners), X.bucket_bounds(62, owners)
-    path1 = X.exchange(plain, send_probes, own_probes, "probe-replies")
-    path2 = X.exchange(plain, send_windows, own_windows, "window-replies")
+    path1 = X.exchange(plain, send_probes, own_probes, owners, "probe-replies")
+    path2 = X.exchange(plain, send_windows, own_windows, owners, "window-replies")
     return plain.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
