@@ -67,6 +67,16 @@ def test_stages(spark, corpus):
     assert not got and lower_ascii("Aé") == "aé"
 
 
+def test_near_stage_takes_eighty_percent(spark, corpus):
+    """Pairs of similarity 0.8 and 0.82 go, one just below 0.8 stays."""
+    w = [f"w{k}" for k in range(104)]
+    docs = [(1, " ".join(w)), (2, " ".join(w[:93])), (3, " ".join("x" + x for x in w)), (4, " ".join("x" + x for x in w[:86])), (5, " ".join("y" + x for x in w)), (6, " ".join("y" + x for x in w[:83])), (7, " ".join("z" + x for x in w)), (8, " ".join("z" + x for x in w[:84]))]
+    rows = [(d, t, "en", "src1", len(t)) for d, t in docs]
+    out = P.near_dedup(spark, spark.createDataFrame(rows, spark.read.parquet(f"{corpus}/documents.parquet").schema), corpus)
+    stay = {r[0] for r in plain_near(docs, 80) if r[3]}
+    assert stay == {1, 3, 5, 6, 7} and {r.doc_id for r in out.collect()} == stay
+
+
 def test_run(spark, corpus):
     out = P.run(spark, corpus)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 10

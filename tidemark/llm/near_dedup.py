@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 30, rows: i
     """doc_id, n_shingles, component_id, kept for every row.
 
     With 30 bands of 6 a pair at 0.85 is missed once in a million; ``percent``
-    below 85 asks for more bands.
+    below 85 asks for more bands: at 0.80, 40 of 5 miss one in ten million.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     scanned = cut(_scan(plain, bands, rows), "near-scan")
