@@ -328,6 +328,21 @@ def test_what_is_not_private():
     assert pii.replace(text, pii.Feistel(b"k"))[0] == text
 
 
+BESIDE = {
+    "room B12 555-123-4567": "555-123-4567", "Q3 2024-05-06": "2024-05-06", "v2 4111 1111 1111 1111": "4111 1111 1111 1111",
+    "2024-05-06 4111 1111 1111 1111": "4111 1111 1111 1111", "2024 4111 1111 1111 1111": "4111 1111 1111 1111", "4111 1111 1111 1111 2024": "4111 1111 1111 1111",
+    "4111 1111 1111 1111 12/2027": "4111 1111 1111 1111", "+1 499 555 6503 2024-05-06": "+1 499 555 6503",
+}
+
+
+@pytest.mark.parametrize("text", sorted(BESIDE))
+def test_values_beside_other_digits(text):
+    value, f = BESIDE[text], pii.Feistel(b"k")
+    spans = [text[a:b] for a, b, _, _ in pii.find(text, f)]
+    assert value in spans and value not in pii.replace(text, f)[0]
+    assert set(spans) <= {value, "2024-05-06"} and ("2024-05-06" in text) == ("2024-05-06" in spans)
+
+
 def test_pii_in_spark(spark):
     docs = documents(spark, [(1, "mail ann.lee@example.com now"), (2, None), (3, ""), (4, "plain"), (5, "x ann.lee@example.com")])
     got = {r.doc_id: r for r in pii.pii_report(docs).collect()}

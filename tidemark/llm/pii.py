@@ -5,7 +5,8 @@ permutation of that format: digits stay digits, letters stay letters, check
 digits are computed anew, separators stay. The permutation is a balanced Feistel
 network of keyed BLAKE2b rounds on the value's index, walked until it falls in
 the format's range, so it is one to one: equal values keep equal pseudonyms in
-all documents, and the key gives them back (``decrypt``).
+all documents, and the key gives them back (``decrypt``), unless a row of digit
+groups can be read as a card in several ways and the pseudonym is read otherwise.
 
 Kinds: email (all but the top-level label), phone (national digits), card (Luhn;
 the first digit stays), ip (v4), date (ISO or with slashes or dots, 1900-2099),
@@ -207,17 +208,20 @@ def find(text: str, f: Feistel) -> Iterator[tuple[int, int, str, str]]:
                 break
     for run in _RUN.finditer(text):
         a = run.start()
-        if a and text[a - 1].isalnum() and text[a] not in "+(":
-            continue
         taken: list[tuple[int, int]] = []
         for kind, pattern, change in _NUMBERS:
-            for m in pattern.finditer(text, a, run.end()):
+            m = pattern.search(text, a, run.end())
+            while m:
                 s, e = m.span()
-                if (text[e : e + 1].isalnum() or text[s - 1 : s].isalnum() and text[s] not in "+(") or any(x < e and s < y for x, y in taken) or not free(s, e):
+                off = text[e : e + 1].isalnum() or text[s - 1 : s].isalnum() and text[s] not in "+("
+                if off or any(x < e and s < y for x, y in taken) or not free(s, e) or not (new := change(m.group(), f)):
+                    # A rejected match may hold a shorter value, or a value that starts at a later group.
+                    shorter = pattern.match(text, s, e - 1) if kind in ("card", "phone") else None
+                    m = shorter or pattern.search(text, s + 1, run.end())
                     continue
-                if new := change(m.group(), f):
-                    found.append((s, e, kind, new))
-                    taken.append((s, e))
+                found.append((s, e, kind, new))
+                taken.append((s, e))
+                m = pattern.search(text, e, run.end())
     return iter(sorted(found))
 
 
