@@ -120,3 +120,13 @@ def test_stream(spark, tmp_path):
         q.awaitTermination(120)
         assert store.read("documents").count() == 1
     assert spark.read.parquet(str(tmp_path / "bad")).select("source_uri", "reason").collect() == [("bad.md", "binary")]
+
+
+def test_stream_takes_long_texts(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "long.md").write_text("# Long\n\n" + "some words in a line\n\n" * 460_000)
+    store = Store(spark, str(tmp_path / "store"))
+    stream_folder(store, str(folder), str(tmp_path / "cp"), str(tmp_path / "bad")).awaitTermination(120)
+    assert store.read("documents").count() == 1 and spark.read.parquet(str(tmp_path / "bad")).count() == 0
+    assert store.read("chunks").agg({"ordinal": "max"}).first()[0] > 1000

@@ -27,7 +27,7 @@ def stream_folder(store: Store, folder: str, checkpoint: str, quarantine: str, a
     files = raw.select(F.url_decode(name).alias("source_uri"), F.col("value").alias("text"))
 
     def run(batch: DataFrame, number: int) -> None:
-        bad = F.when(F.col("text").contains("\x00"), "binary").when(F.length("text") > 10_000_000, "too_long")
+        bad = F.when(F.col("text").contains("\x00"), "binary")
         marked = batch.withColumn("reason", bad)
         failed = marked.filter("reason is not null")
         failed.select(job_id(F.col("text")).alias("job_id"), "source_uri", "reason", F.lit(number).alias("batch")).write.mode("append").parquet(quarantine)
