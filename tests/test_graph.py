@@ -7,6 +7,7 @@ from tidemark.functions.vocab import type_chart
 from tidemark.operators import graph as G
 from tidemark.operators import walk as W
 from tidemark.options import FactOptions, WalkOptions
+from tidemark.plans import registry
 from tidemark.schemas import PROPERTIES
 
 P, T = "pokemon", "type"
@@ -169,3 +170,17 @@ def test_resolution(spark):
     said = spark.createDataFrame([("aria", P, [0.0, 1.0]), ("songbird", P, None), ("bexx", P, [0.1, 1.0]), ("new", P, [0.7, 0.7])], "normalized_name string, type string, embedding array<float>")
     got = {r.normalized_name: (r.entity_id if r.how != "new" else None, r.how) for r in G.resolve(said, entities, aliases).collect()}
     assert got == {"aria": ("1", "exact"), "songbird": ("1", "alias"), "bexx": ("3", "embedding"), "new": (None, "new")}
+
+
+def test_graph_facts_takes_all_entities(spark, monkeypatch):
+    """30 entities of one edge each give 30 facts."""
+    made = {
+        "mentions": spark.createDataFrame([("o:1", f"c:{k}", 1 + k) for k in range(30)], "chunk_id string, entity_id string, mentions int"),
+        "edges": spark.createDataFrame([(f"c:{k}|found_in|n:1", f"c:{k}", "n:1", "found_in", None, 1.0, "llm") for k in range(30)], f"id string, source_entity_id string, target_entity_id string, relation string, properties {PROPERTIES.simpleString()}, confidence float, origin string"),
+        "names": spark.createDataFrame([(f"c:{k}", f"C{k}") for k in range(30)] + [("n:1", "N")], "id string, canonical_name string"),
+        "provenance": spark.createDataFrame([], "edge_id string, chunk_id string"),
+    }
+    for name, table in made.items():
+        monkeypatch.setattr(registry.star, name, lambda spark, sf_dir, table=table: table)
+    got = registry.graph_facts(spark, "").collect()
+    assert [r.edge_id for r in sorted(got)] == [f"c:{k}|found_in|n:1" for k in range(29, -1, -1)]

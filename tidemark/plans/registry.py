@@ -170,8 +170,7 @@ def graph_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = star.mentions(spark, sf_dir).groupBy("entity_id").agg(F.sum("mentions").alias("weight"))
-    some = weights.orderBy(F.desc("weight"), "entity_id").limit(20)
-    out = walk.facts(some, star.edges(spark, sf_dir), star.names(spark, sf_dir), star.provenance(spark, sf_dir), FactOptions(max_facts=40, max_facts_per_entity=4))
+    out = walk.facts(weights, star.edges(spark, sf_dir), star.names(spark, sf_dir), star.provenance(spark, sf_dir), FactOptions(max_facts=40, max_facts_per_entity=4))
     return out.select("position", "edge_id", "line")
 
 
