@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +24,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, single machine) a local folder is
-    made and set, so that ``checkpoint()`` works as well.
+    Only where a local session names none (tests, single machine) a folder is made
+    and set, so that ``checkpoint()`` works as well; a cluster has to name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
             current = spark.sparkContext.getCheckpointDir()
         path = current
@@ -48,7 +54,65 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     path = fresh_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._path = path
+    return table
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut` that nothing reads any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table._path)
+
+
+_left: dict[str, Callable] = {}
+
+
+def on_leaving(module: str, forget: Callable) -> None:
+    """In a worker: call ``forget`` when it comes to a task of another module."""
+    _left[module] = forget
+
+
+def _enter(module: str) -> None:
+    for other in [m for m in _left if m != module]:
+        _left.pop(other)()
+        _release()
+
+
+def _release() -> None:
+    """Give freed memory back to the system, as the next task may be another operator's."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(task: Callable) -> Callable:
+    """A Python task, plain or a generator, beside which its worker keeps no other module's memory."""
+    if inspect.isgeneratorfunction(task):
+
+        @functools.wraps(task)
+        def run(arg):
+            _enter(task.__module__)
+            try:
+                yield from task(arg)
+            finally:
+                _release()
+
+    else:
+
+        @functools.wraps(task)
+        def run(arg):
+            _enter(task.__module__)
+            try:
+                return task(arg)
+            finally:
+                _release()
+
+    return run
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

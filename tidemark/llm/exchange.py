@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_path, fresh_path, open_fs
+from .common import cut, drop_path, fresh_path, lean, open_fs
 from .pfor import pack_groups, unpack_groups
 
 MESSAGE = "sender int, chunk int, bucket int, n long, payload binary"
@@ -117,6 +117,23 @@ def fix_splits(spark: SparkSession) -> None:
         spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
 
 
+def owners_for(df: DataFrame, bytes_a_hash: int, senders: int, hashes: int = 4_000_000) -> int:
+    """Owners so that each gets about ``hashes`` of a scan of ``df``, at most two a sender.
+
+    A sender's message to an owner should hold many hashes: for very large inputs
+    let ``spark.sql.files.maxPartitionBytes`` and the owners' memory grow together.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(8, min(2 * senders, -(-size // (bytes_a_hash * hashes))))
+
+
+def among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``values`` are in sorted ``found``."""
+    if not len(found):
+        return np.zeros(len(values), bool)
+    return found[np.minimum(np.searchsorted(found, values), len(found) - 1)] == values
+
+
 def n_partitions(df: DataFrame) -> int:
     return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())
 
@@ -137,6 +154,7 @@ def exchange(source: DataFrame, send: Callable, own: Callable, owners: int, name
 
     spark = source.sparkSession
 
+    @lean
     def answer(table):
         if not table.num_rows:
             return pa.table({k: [] for k in ("sender", "chunk", "bucket", "n", "sum", "bits")})
@@ -205,4 +223,4 @@ def messages(sender: int, chunk: int, values: np.ndarray, bounds: np.ndarray, ex
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["sender", "chunk", "bucket", "n", "payload"])
 
 
-__all__ = ["answered", "bucket_bounds", "checksum", "drop_path", "exchange", "fix_splits", "golomb_decode", "golomb_encode", "messages", "n_partitions", "pack_bits", "packed_size", "pinned", "read_replies", "split_by_owner", "unpack_bits"]
+__all__ = ["among", "answered", "bucket_bounds", "checksum", "drop_path", "exchange", "fix_splits", "golomb_decode", "golomb_encode", "messages", "n_partitions", "owners_for", "pack_bits", "packed_size", "pinned", "read_replies", "split_by_owner", "unpack_bits"]

@@ -8,20 +8,27 @@ a compressed exchange after the first and the second (see ``exchange``):
 1. Probe: the hash of every rolling 7-word window is sent to the owner of its
    range, marked if it is a block. The owner answers which ones are hits: equal
    to a block, and met more than once.
-2. Extend: each 13-word window that holds a hit is looked up whole (94 bits of
-   hash); its owner finds the smallest ``doc_id`` that has it and answers each
-   sender whether another sender has a smaller one.
+2. Extend: each 13-word window that holds a hit is looked up whole; its owner
+   finds the smallest ``doc_id`` that has it and answers each sender whether
+   another sender has a smaller one.
 3. Remove: runs of duplicate windows, maximal exact repeats, are cut out.
 
+Block hashes only propose. Whole windows are told apart by 126 bits from two
+independent hashes of their words, under keys that are drawn anew for each run,
+so no text can be written to collide; among 10**13 windows a wrong match has a
+chance of about 10**-12.
+
 Semantics: null text has no words; a text under 13 words has no window; a window
 repeated inside one document only is kept; a null ``doc_id`` comes after all
 others and never before another null; rows that share a ``doc_id`` don't
-displace each other; other columns are ignored; an empty table gives no rows.
+displace each other; a text of any length is handled whole, in one task, with
+some 40 bytes a word; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .wordhash import text_words, windows, windows_at
+from .common import lean
+from .wordhash import first_of_each, text_words, windows, windows_at
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -38,13 +46,17 @@ NO_ID = np.iinfo(np.int64).max
 @dataclass
 class _Chunk:
     number: int
-    hashes: np.ndarray  # of all words
+    keyed: list[np.ndarray]  # hashes of all words, by key
     owner: np.ndarray  # row of each word
     first: np.ndarray  # position of each row's first word
     ids: np.ndarray  # doc_id of each row, NO_ID for null
     null: np.ndarray
     columns: list  # the rows' texts
 
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.keyed[0]
+
     def texts(self) -> Iterator[bytes]:
         for column in self.columns:
             for value in column:
@@ -52,7 +64,7 @@ class _Chunk:
                 yield text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def _chunks(batches, limit: int) -> Iterator[_Chunk]:
+def _chunks(batches, limit: int, keys: tuple[int, ...]) -> Iterator[_Chunk]:
     """The partition's texts, some ``limit`` words at a time, whole texts each."""
     number, have = 0, 0
     hashes: list = []
@@ -63,14 +75,14 @@ def _chunks(batches, limit: int) -> Iterator[_Chunk]:
 
     def made() -> _Chunk:
         n = np.concatenate(counts)
-        return _Chunk(number, np.concatenate(hashes), np.repeat(np.arange(len(n), dtype=np.int32), n), np.cumsum(n) - n, np.concatenate(ids), np.concatenate(null), list(columns))
+        return _Chunk(number, [np.concatenate(x) for x in zip(*hashes)], np.repeat(np.arange(len(n), dtype=np.int32), n), np.cumsum(n) - n, np.concatenate(ids), np.concatenate(null), list(columns))
 
     for batch in batches:
         all_ids = batch.column(0)
         missing = np.asarray(all_ids.is_null())
         plain = np.asarray(all_ids.fill_null(NO_ID)).astype(np.int64)
-        for i, j, words in text_words(batch.column(1)):
-            hashes.append(words.hashes)
+        for i, j, words in text_words(batch.column(1), keys=keys):
+            hashes.append(words.keyed)
             counts.append(words.last - words.first)
             ids.append(plain[i:j])
             null.append(missing[i:j])
@@ -105,16 +117,17 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_words: int = 2_000_
         at = at[n[chunk.owner[at]] >= window]
         return at, windows(chunk.hashes, block)[at] >> np.uint64(64 - bits)
 
+    @lean
     def send_probes(batches):
         from pyspark import TaskContext
 
         sender = TaskContext.get().partitionId()
-        for chunk in _chunks(batches, chunk_words):
+        for chunk in _chunks(batches, chunk_words, keys[:1]):
             at, h = probes(chunk, bits)
             is_block = (at - chunk.first[chunk.owner[at]]) % block == 0
             keyed = np.sort((h << np.uint64(1)) | is_block)
             h = keyed >> np.uint64(1)
-            new = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0) if len(h) else np.zeros(0, np.int64)
+            new = np.flatnonzero(first_of_each(h))
             times = np.diff(np.append(new, len(h)))
             blocks = (keyed[new + times - 1] & np.uint64(1)).astype(bool) if len(h) else np.zeros(0, bool)
             several = times > 1
@@ -131,38 +144,45 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_words: int = 2_000_
             keyed.append((h << np.uint64(2)) | (np.unpackbits(flags[:half], count=n).astype(np.uint64) << np.uint64(1)) | np.unpackbits(flags[half:], count=n))
         every = np.sort(np.concatenate(keyed))
         h = every >> np.uint64(2)
-        new = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)) != 0)
+        new = np.flatnonzero(first_of_each(h))
         times = np.diff(np.append(new, len(h)))
         is_block = np.bitwise_or.reduceat((every >> np.uint64(1)) & np.uint64(1), new) > 0
         several = (times > 1) | (np.bitwise_or.reduceat(every & np.uint64(1), new) > 0)
         hits = h[new[is_block & several]]
-        return [(X.checksum(v), np.isin(v, hits, assume_unique=True)) for v in lists]
+        return [(X.checksum(v), X.among(v, hits)) for v in lists]
 
     def candidates(chunk: _Chunk, replies: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions of the 13-word windows that hold a hit, and two hashes of each."""
         at, h = probes(chunk, bits)
-        values = np.unique(h)
-        hits = values[X.answered(replies.get(chunk.number, []), values, bounds)]
+        order = np.argsort(h)
+        h = h[order]
+        new = first_of_each(h)
+        said = X.answered(replies.get(chunk.number, []), h[new], bounds)
         hit = np.zeros(len(chunk.hashes) + window, np.int8)
-        if len(hits):
-            where = np.searchsorted(hits, h)
-            where[where == len(hits)] = 0
-            hit[at[hits[where] == h]] = 1
+        if said.any():
+            hit[at[order[said[np.cumsum(new) - 1]]]] = 1
         total = np.cumsum(np.append(np.zeros(1, np.int32), hit), dtype=np.int32)
         whole = _inside(chunk, window)
         whole = whole[total[whole + window - block + 1] > total[whole]]
-        return whole, windows_at(chunk.hashes, whole, window) >> np.uint64(2), windows_at(chunk.hashes, whole, window, 0x5851F42D4C957F2D) >> np.uint64(32)
+        return whole, windows_at(chunk.hashes, whole, window) >> np.uint64(2), windows_at(chunk.keyed[1], whole, window)
+
+    def grouped(h, check):
+        """An order that brings equal windows together, and where a new one begins in it."""
+        order = np.argsort(h)
+        new, c = first_of_each(h[order]), check[order]
+        if (~new[1:] & (c[1:] != c[:-1])).any():  # two windows of one 62-bit hash
+            order = np.lexsort((check, h))
+            new = first_of_each(h[order]) | first_of_each(check[order])
+        return order, new
 
     def earliest(chunk: _Chunk, at, h, check):
         """Distinct windows by hash, their smallest id here, and the window of each position."""
-        ids = chunk.ids[chunk.owner[at]]
-        order = np.lexsort((ids, check, h))
-        h, check, ids = h[order], check[order], ids[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+        order, new = grouped(h, check)
         which = np.empty(len(h), np.int64)
         which[order] = np.cumsum(new) - 1
-        return h[new], check[new], ids[new], which
+        first = np.flatnonzero(new)
+        ids = np.minimum.reduceat(chunk.ids[chunk.owner[at[order]]], first) if len(first) else np.zeros(0, np.int64)
+        return h[order[first]], check[order[first]], ids, which
 
     def parts(h, check):
         """Two windows of one 62-bit hash take a turn each, as the code needs distinct values."""
@@ -171,12 +191,13 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_words: int = 2_000_
             turn[same + 1] += 1
         return [np.flatnonzero(turn == k) for k in range(int(turn.max(initial=0)) + 1)]
 
+    @lean
     def send_windows(batches):
         from pyspark import TaskContext
 
         sender = TaskContext.get().partitionId()
         replies = X.read_replies(path1, sender)
-        for chunk in _chunks(batches, chunk_words):
+        for chunk in _chunks(batches, chunk_words, keys):
             h, check, ids, _ = earliest(chunk, *candidates(chunk, replies))
             for turn, own in enumerate(parts(h, check)):
                 if not len(own):
@@ -188,7 +209,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_words: int = 2_000_
                 delta = np.where(d == NO_ID, np.uint64(0), (d - low + 1).astype(np.uint64))
 
                 def extra(i, j, c=c, delta=delta, low=low, width=width):
-                    return low.to_bytes(8, "little", signed=True) + bytes([width]) + c[i:j].astype("<u4").tobytes() + X.pack_bits(delta[i:j], width)
+                    return low.to_bytes(8, "little", signed=True) + bytes([width]) + c[i:j].astype("<u8").tobytes() + X.pack_bits(delta[i:j], width)
 
                 yield from X.messages(sender, chunk.number * 64 + turn, h[own], wide, extra)
 
@@ -199,28 +220,26 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_words: int = 2_000_
             h = X.golomb_decode(payload[4 : 4 + size], n, int(wide[bucket]))
             rest = payload[4 + size :]
             low, width = int.from_bytes(rest[:8], "little", signed=True), rest[8]
-            delta = X.unpack_bits(rest[9 + 4 * n :], n, width).astype(np.int64)
-            lists.append((h, np.frombuffer(rest, "<u4", n, 9), np.where(delta == 0, NO_ID, delta - 1 + low)))
+            delta = X.unpack_bits(rest[9 + 8 * n :], n, width).astype(np.int64)
+            lists.append((h, np.frombuffer(rest, "<u8", n, 9), np.where(delta == 0, NO_ID, delta - 1 + low)))
         h, check, ids = (np.concatenate(x) for x in zip(*lists))
-        order = np.lexsort((ids, check, h))
-        h, check = h[order], check[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
+        order, new = grouped(h, check)
         least = np.empty(len(h), np.int64)
-        least[order] = ids[order][new][np.cumsum(new) - 1]
+        least[order] = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         smaller, out, a = least < ids, [], 0
         for h, _, _ in lists:
             out.append((X.checksum(h), smaller[a : a + len(h)]))
             a += len(h)
         return out
 
+    @lean
     def remove(batches):
         from pyspark import TaskContext
 
         sender = TaskContext.get().partitionId()
         hits, firsts = X.read_replies(path1, sender), X.read_replies(path2, sender)
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-        for chunk in _chunks(batches, chunk_words):
+        for chunk in _chunks(batches, chunk_words, keys):
             at, h, check = candidates(chunk, hits)
             values, checks, least, which = earliest(chunk, at, h, check)
             elsewhere = np.zeros(len(values), bool)
@@ -229,8 +248,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_words: int = 2_000_
                     elsewhere[own] = X.answered(firsts.get(chunk.number * 64 + turn, []), values[own], wide)
             again = at[elsewhere[which] | (chunk.ids[chunk.owner[at]] > least[which])] if len(at) else at
             step = np.zeros(len(chunk.hashes) + window + 1, np.int32)
-            np.add.at(step, again, 1)
-            np.add.at(step, again + window, -1)
+            step[again] += 1
+            step[again + window] -= 1
             gone = np.cumsum(step)[: len(chunk.hashes)] > 0
             n = np.diff(np.append(chunk.first, len(chunk.hashes)))
             lost = np.bincount(chunk.owner[gone], minlength=len(n))
@@ -252,7 +271,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_words: int = 2_000_
     X.fix_splits(spark)
     senders = X.n_partitions(plain)
     bits = min(60, 34 + (senders * chunk_words // 2_000_000 * 4).bit_length())
-    owners = owners or max(8, 2 * senders)
+    owners = owners or X.owners_for(plain, 3, senders)
+    keys = (secrets.randbits(64), secrets.randbits(64))
     bounds, wide = X.bucket_bounds(bits, owners), X.bucket_bounds(62, owners)
     path1 = X.exchange(plain, send_probes, own_probes, owners, "probe-replies")
     path2 = X.exchange(plain, send_windows, own_windows, owners, "window-replies")
