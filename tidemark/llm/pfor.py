@@ -15,8 +15,10 @@ a reader can seek to any document. Integers are little-endian.
            | blocks of chunk u64 | exception start of chunk u64
 
 Semantics: null text counts as empty; an empty document has only the end id; a
-null ``doc_id`` sorts first; rows that share a ``doc_id`` are ordered by text;
-other columns are ignored; an empty table gives no files and no rows.
+null ``doc_id`` sorts first; rows that share a ``doc_id`` are ordered by the first
+64 characters of their texts, then by a hash of them, so that a ``doc_id`` of very
+many rows still spreads over tasks; a text of any length is encoded whole, in one
+task; other columns are ignored; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, open_fs
+from .common import fresh_path, lean, on_leaving, open_fs
 
 BLOCK = 256
 CHUNK_BLOCKS = 2048
@@ -51,40 +53,66 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in kept else chr(next(extra)) for b in range(256)]
 
 
-class _Pieces(dict):
-    def __init__(self, model):
+class _Memo(dict):
+    """A dictionary of at most ``most`` bytes; when half of them are new, those not met lately go."""
+
+    def __init__(self, most: int):
         super().__init__()
+        self.most, self.room, self.older = most // 2, most // 2, {}
+
+    def keep(self, key: str, ids: bytes) -> None:
+        self.room -= 140 + len(key) + len(ids)
+        if self.room < 0:
+            self.older, self.room = dict(self), self.most
+            self.clear()
+        self[key] = ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.room = {}, self.most
+
+
+class _Pieces(_Memo):
+    def __init__(self, model, most: int):
+        super().__init__(most)
         self.model, self.chars = model, _byte_chars()
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.older.pop(piece, None)
+        if ids is not None:
+            self.keep(piece, ids)
+            return ids
         mapped = "".join([self.chars[b] for b in piece.encode()])
         ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-        if len(piece) <= 32 and len(self) < 500_000:
-            self[piece] = ids
+        if len(piece) <= 32:
+            self.keep(piece, ids)
         return ids
 
 
-class _Words(dict):
+class _Words(_Memo):
     """Ids of a white-space-delimited word, through the tokenizers library.
 
     Words of plain ASCII and Latin-1 letters take a short way: the library's
     model on the pieces that its pre-tokenizer would cut. Others take its whole
-    pipeline. The memo is bounded and holds no corpus state.
+    pipeline. The memo has a bound in bytes and is dropped with the encoder.
     """
 
-    def __init__(self, tokenizer, limit: int):
-        super().__init__()
-        self.tokenizer, self.pieces, self.limit = tokenizer, _Pieces(tokenizer.model), limit
+    def __init__(self, tokenizer, most: int):
+        super().__init__(most)
+        self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer.model, most // 2)
 
     def __missing__(self, word: str) -> bytes:
-        if not word:
+        ids = self.older.pop(word, None)
+        if ids is not None:
+            pass
+        elif not word:
             ids = b""
         elif _SAFE.fullmatch(word) and "<|" not in word:
             ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 40 and len(self) < self.limit:
-            self[word] = ids
+        if len(word) <= 40:
+            self.keep(word, ids)
         return ids
 
 
@@ -93,7 +121,7 @@ class Encoder:
 
     _by_path: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, memo_bytes: int = 120_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -113,13 +141,14 @@ class Encoder:
             and spec["model"]["type"] == "BPE"
             and not any(t["lstrip"] or t["rstrip"] or not t["content"].startswith("<|") for t in spec["added_tokens"])
         )
-        self.words = _Words(self.tokenizer, limit)
+        self.words = _Words(self.tokenizer, memo_bytes)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """One per Python worker, kept between tasks."""
+        """One per Python worker, kept until it runs another operator's task."""
         if path not in cls._by_path:
             cls._by_path[path] = cls(path)
+            on_leaving(__name__, cls._by_path.clear)
         return cls._by_path[path]
 
     def ids(self, text: str | None) -> bytes:
@@ -314,7 +343,9 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     """
     import pyarrow as pa
 
+    @lean
     def write(batches):
+        from pyarrow.fs import FileType
         from pyspark import TaskContext
 
         context = TaskContext.get()
@@ -332,12 +363,15 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         if writer is not None:
             writer.close()
             sink.close()
+            if fs.get_file_info(name).type != FileType.NotFound:  # of an earlier attempt; some stores don't replace
+                fs.delete_file(name)
             fs.move(trial, name)
             yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int64()), pa.array([name]), pa.array([writer.tokens], pa.int64())], ["pid", "path", "n"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    ordered = plain.repartitionByRange("i").sortWithinPartitions(F.col("i").asc_nulls_first(), "t")
-    done = sorted(ordered.mapInArrow(write, "pid long, path string, n long").collect())
+    keys = plain.select("i", F.substring("t", 1, 64).alias("head"), F.xxhash64("t").alias("h"), F.spark_partition_id().alias("from"), "t")
+    ordered = keys.repartitionByRange("i", "head", "h", "from").sortWithinPartitions("i", "head", "h")
+    done = sorted(ordered.select("i", "t").mapInArrow(write, "pid long, path string, n long").collect())
     manifest, before = [], 0
     for _, path, n in done:
         manifest.append((path, before, n))
@@ -352,6 +386,7 @@ def read_tokens(spark: SparkSession, manifest: list[tuple[str, int, int]], out_d
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
+    @lean
     def read(batches):
         fs, _ = open_fs(out_dir)
         for batch in batches:
