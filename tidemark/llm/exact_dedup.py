@@ -1,33 +1,39 @@
 """Exact dedup by Golomb-coded fingerprint exchange.
 
 1. Each scan partition takes the SHA-256 of every normalised text and sends the
-   sorted 62-bit fingerprints, Golomb-coded, to the owners of their ranges.
+   sorted 62-bit fingerprints, Golomb-coded, to the owners of their ranges, for
+   every ``CHUNK_BYTES`` of text anew.
 2. An owner tells each sender, a bit a fingerprint, which ones others sent too.
-3. Each partition scans again. Rows whose fingerprint is alone pass at once. Of
-   the suspects it sends every distinct text once, with its number of rows and
-   largest id; the texts are grouped byte for byte.
+3. Each partition scans again, a chunk at a time. Rows whose fingerprint is alone
+   pass at once. Of the suspects it sends every distinct text once, with its
+   number of rows and largest id; the texts are grouped byte for byte.
 
-Only suspect texts are shuffled, each at most once a partition, so a text that
-holds a third of all rows never gathers in one task.
+Only suspect texts are shuffled, each at most once a chunk, so a text that holds
+a third of all rows never gathers in one task; in the last join, of short rows
+with one row a text, Spark splits the skewed side.
 
 Semantics: null text counts as empty; A-Z are lower-cased and nothing else is;
 the row with the largest ``doc_id`` stays (null is the smallest); rows that
-share both text and ``doc_id`` count separately and share one decision; other
-columns are ignored; an empty table gives an empty result.
+share both text and ``doc_id`` count separately and share one decision; a very
+long text is hashed and compared whole, in a chunk of its own; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import cut, drop_path
+from .common import cut, drop_path, lean
+from .wordhash import distinct, first_of_each
 
 BITS = 62
+CHUNK_BYTES = 1 << 24
 
 
 def _digests(column):
@@ -37,6 +43,22 @@ def _digests(column):
         yield body, hashlib.sha256(body).digest()
 
 
+def _chunks(batches, id_at: int | None, text_at: int) -> Iterator[tuple[int, list[tuple[int | None, bytes, bytes]]]]:
+    """(number, rows of id, text, digest), some ``CHUNK_BYTES`` of text at a time."""
+    number, size = 0, 0
+    rows: list[tuple[int | None, bytes, bytes]] = []
+    for batch in batches:
+        ids = [None] * batch.num_rows if id_at is None else batch.column(id_at).to_pylist()
+        for i, (body, digest) in zip(ids, _digests(batch.column(text_at))):
+            rows.append((i, body, digest))
+            size += len(body)
+            if size >= CHUNK_BYTES:
+                yield number, rows
+                rows, size, number = [], 0, number + 1
+    if rows:
+        yield number, rows
+
+
 def _finger(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big") >> (64 - BITS)
 
@@ -48,45 +70,46 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     plain = X.pinned(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")))
 
+    @lean
     def send(batches):
         from pyspark import TaskContext
 
-        found: list[int] = []
-        for batch in batches:
-            found += [_finger(d) for _, d in _digests(batch.column(0))]
-        values = np.unique(np.array(found, np.uint64))
-        yield from X.messages(TaskContext.get().partitionId(), 0, values, bounds)
+        sender = TaskContext.get().partitionId()
+        for number, rows in _chunks(batches, None, 0):
+            values = distinct(np.array([_finger(d) for _, _, d in rows], np.uint64))
+            yield from X.messages(sender, number, values, bounds)
 
     def own(bucket, received):
         lists = [X.golomb_decode(p, n, int(bounds[bucket])) for n, p in received]
-        values, count = np.unique(np.concatenate(lists), return_counts=True)
-        shared = values[count > 1]
-        return [(X.checksum(v), np.isin(v, shared)) for v in lists]
+        every = np.sort(np.concatenate(lists))
+        new = np.flatnonzero(first_of_each(every))
+        shared = every[new[np.diff(np.append(new, len(every))) > 1]]
+        return [(X.checksum(v), X.among(v, shared)) for v in lists]
 
+    @lean
     def resolve(batches):
         from pyspark import TaskContext
 
-        sender = TaskContext.get().partitionId()
-        rows: list[tuple[int | None, bytes]] = []
+        replies = X.read_replies(path, TaskContext.get().partitionId())
+        for number, rows in _chunks(batches, 0, 1):
+            yield from settle(rows, replies.get(number, []))
+
+    def settle(rows, answers):
         texts: dict[bytes, list] = {}
-        for batch in batches:
-            for i, (body, digest) in zip(batch.column(0).to_pylist(), _digests(batch.column(1))):
-                rows.append((i, digest))
-                group = texts.get(digest)
-                if group is None:
-                    texts[digest] = [body, 1, i]
-                elif group[0] != body:
-                    raise RuntimeError("two texts with one SHA-256")
-                else:
-                    group[1] += 1
-                    if group[2] is None or i is not None and i > group[2]:
-                        group[2] = i
-        if not rows:
-            return
+        for i, body, digest in rows:
+            group = texts.get(digest)
+            if group is None:
+                texts[digest] = [body, 1, i]
+            elif group[0] != body:
+                raise RuntimeError("two texts with one SHA-256")
+            else:
+                group[1] += 1
+                if group[2] is None or i is not None and i > group[2]:
+                    group[2] = i
         order = np.array([_finger(d) for d in texts], np.uint64)
-        values = np.unique(order)
-        shared = values[X.answered(X.read_replies(path, sender).get(0, []), values, bounds)]
-        suspect = dict(zip(texts, np.isin(order, shared).tolist()))
+        values = distinct(order)
+        shared = values[X.answered(answers, values, bounds)]
+        suspect = {d: bool(x) for d, x in zip(texts, X.among(order, shared))}
         names = ["kind", "i", "sha", "n", "keep", "body"]
 
         def out(kind, lines):
@@ -94,12 +117,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 i, sha, n, keep, body = zip(*lines[a : a + 512])
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(i), pa.int32()), pa.array(i, pa.int64()), pa.array(sha, pa.binary()), pa.array(n, pa.int64()), pa.array(keep, pa.int64()), pa.array(body, pa.binary())], names)
 
-        yield from out(0, [(i, d, texts[d][1], texts[d][2], None) for i, d in rows if not suspect[d]])
-        yield from out(1, [(i, d, None, None, None) for i, d in rows if suspect[d]])
+        yield from out(0, [(i, d, texts[d][1], texts[d][2], None) for i, _, d in rows if not suspect[d]])
+        yield from out(1, [(i, d, None, None, None) for i, _, d in rows if suspect[d]])
         yield from out(2, [(None, d, g[1], g[2], g[0]) for d, g in texts.items() if suspect[d]])
 
     X.fix_splits(spark)
-    bounds = X.bucket_bounds(BITS, X.n_partitions(plain))
+    bounds = X.bucket_bounds(BITS, X.owners_for(plain, 1000, X.n_partitions(plain)))
     path = X.exchange(plain.select("t"), send, own, len(bounds) - 1, "dedup-replies")
     scan = cut(plain.mapInArrow(resolve, "kind int, i long, sha binary, n long, keep long, body binary"), "dedup-rows", "kind")
     drop_path(spark, path)

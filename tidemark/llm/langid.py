@@ -4,13 +4,16 @@ Bytes are embedded; filters of widths 2, 3 and 4 slide over them; each filter's
 maximum over a window of 256 bytes feeds a softmax over the learned languages. A
 text is cut into such windows from its first byte to its last, and the windows'
 probabilities are averaged by length. Training takes one window each of at most
-``train_rows`` labelled rows, drawn by hash: the only bound, and the only thing
-that reaches the driver.
+``train_rows`` labelled rows, drawn by hash, the same number of each language as
+far as it has so many: the only bound. They and the number of rows of each
+language are the only things that reach the driver.
 
 Semantics: null text and text without a letter are ``und`` with score 0; rows
 with null ``lang`` teach nothing; a null ``doc_id`` counts as the empty string
-in the split; if no row teaches, all are ``und``; other columns are ignored; an
-empty table gives an empty result.
+in the split; rows that share a ``doc_id`` are drawn together and predicted each;
+if no row teaches, all are ``und``; a text of any length is read to its end, a
+megabyte of windows at a time; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -18,10 +21,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean
+
 LENGTH, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
+#: Bytes of text whose windows are classified at once.
+PIECE = LENGTH << 12
 _WIDEST = max(WIDTHS)
 
 
@@ -116,56 +123,89 @@ def train(texts: list[str], langs: list[str], epochs: int = 8, least_steps: int
     return net
 
 
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows of each language, as even as their numbers allow, ``rows`` in all or all there are."""
+    out, left = {}, rows
+    for k, lang in enumerate(sorted(counts, key=lambda v: (counts[v], v))):
+        out[lang] = min(counts[lang], left // (len(counts) - k))
+        left -= out[lang]
+    return out
+
+
 def fit(docs: DataFrame, train_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteConv | None:
-    """Train on at most ``train_rows`` labelled rows outside the held-out quarter."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & ~held_out(F.col(id_col)))
-    draw = F.xxhash64(F.col(id_col).cast("string"), F.lit("langid"))
-    share = min(1.0, 2.0 * train_rows / max(1, docs.count()))
-    size = F.length(text_col)
-    start = 1 + F.pmod(F.xxhash64(F.lit("at"), F.col(id_col).cast("string")), F.greatest(F.lit(1), size - 2 * LENGTH // 3)).cast("int")
-    some = labelled.filter(F.pmod(draw, F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    rows = some.select(draw.alias("draw"), F.substring(F.col(text_col), start, F.lit(LENGTH)).alias("t"), F.col(lang_col).alias("l")).orderBy("draw", "t", "l").limit(train_rows).collect()
+    """Train on at most ``train_rows`` labelled rows outside the held-out quarter.
+
+    About twice a language's quota is drawn by hash; the first ones by hash teach.
+    """
+    doc, text, lang = F.col(id_col).cast("string"), F.col(text_col), F.col(lang_col).cast("string")
+    labelled = docs.filter(lang.isNotNull() & text.rlike(r"\p{L}") & ~held_out(F.col(id_col)))
+    counts = {r.l: r.n for r in labelled.groupBy(lang.alias("l")).agg(F.count("*").alias("n")).collect()}
+    wanted = {v: n for v, n in quotas(counts, train_rows).items() if n}
+    if not wanted:
+        return None
+    draw = F.xxhash64(doc, F.lit("langid"))
+    limits = F.create_map(*[F.lit(x) for v, n in wanted.items() for x in (v, min(1_000_000, 1000 + 2_000_000 * n // counts[v]))])
+    start = 1 + F.pmod(F.xxhash64(F.lit("at"), doc), F.greatest(F.lit(1), F.length(text) - 2 * LENGTH // 3)).cast("int")
+    some = labelled.filter(F.pmod(draw, F.lit(1_000_000)) < limits[lang])
+    some = some.select(draw.alias("draw"), F.substring(text, start, F.lit(LENGTH)).alias("t"), lang.alias("l"))
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("draw", "t")))
+    quota = F.create_map(*[F.lit(x) for v, n in wanted.items() for x in (v, n)])
+    rows = some.filter(F.col("k") <= quota[F.col("l")]).orderBy("draw", "t", "l").collect()
     return train([r.t for r in rows], [r.l for r in rows]) if rows else None
 
 
+def classify(texts, model: ByteConv | None) -> tuple[list[str], list[float]]:
+    """Language and score of each text, windows of several texts at a time."""
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    pending: list[tuple[int, int, int]] = []  # text, windows, bytes
+    windows: list[bytes] = []
+    sums: dict[int, np.ndarray] = {}
+    size = 0
+
+    def flush():
+        p = model.probabilities(np.frombuffer(b"".join(windows), np.uint8).reshape(-1, LENGTH))
+        a = 0
+        for k, n, length in pending:
+            weight = np.full(n, float(LENGTH))
+            weight[-1] = length - (n - 1) * LENGTH
+            sums[k] = sums.get(k, 0) + weight @ p[a : a + n]
+            a += n
+        pending.clear()
+        windows.clear()
+
+    for k, text in enumerate(texts):
+        text = text.as_py() if hasattr(text, "as_py") else text
+        if model is None or not has_letter(text):
+            continue
+        raw = _bytes(text)
+        for a in range(0, len(raw), PIECE):
+            part = raw[a : a + PIECE]
+            n = -(-len(part) // LENGTH)
+            pending.append((k, n, len(part)))
+            windows.append(part.ljust(n * LENGTH, b"\0"))
+            size += len(part)
+            if size >= PIECE:
+                flush()
+                size = 0
+    if pending:
+        flush()
+    for k, total in sums.items():
+        top = int(total.argmax())
+        lang[k], score[k] = model.languages[top], float(min(1.0, total[top] / total.sum()))
+    return lang, score
+
+
 def identify(docs: DataFrame, model: ByteConv | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row."""
     import pyarrow as pa
 
-    def classify(batches):
+    @lean
+    def name(batches):
         for batch in batches:
-            texts = batch.column(1)
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            pending: list[tuple[int, bytes]] = []
-            size = 0
-
-            def flush():
-                data = [b.ljust(-(-len(b) // LENGTH) * LENGTH, b"\0") for _, b in pending]
-                p = model.probabilities(np.frombuffer(b"".join(data), np.uint8).reshape(-1, LENGTH))
-                a = 0
-                for (k, raw), d in zip(pending, data):
-                    b = a + len(d) // LENGTH
-                    weight = np.full(b - a, float(LENGTH))
-                    weight[-1] = len(raw) - (b - a - 1) * LENGTH
-                    mean = weight @ p[a:b] / weight.sum()
-                    top = int(mean.argmax())
-                    lang[k], score[k] = model.languages[top], float(min(1.0, mean[top]))
-                    a = b
-
-            for k, text in enumerate(texts):
-                text = text.as_py()
-                if model is None or not has_letter(text):
-                    continue
-                pending.append((k, _bytes(text)))
-                size += len(pending[-1][1])
-                if size > 1 << 20:
-                    flush()
-                    pending, size = [], 0
-            if pending:
-                flush()
+            lang, score = classify(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(classify, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(name, "doc_id long, lang_pred string, score double")
 
 
 def language_ids(docs: DataFrame, **options) -> DataFrame:
@@ -182,22 +222,12 @@ def keep_identified(docs: DataFrame, min_score: float = 0.35, text_col: str = "t
     import pyarrow as pa
 
     model = fit(docs, text_col=text_col, **options)
-    names = docs.columns
-    at = names.index(text_col)
+    at = docs.columns.index(text_col)
 
+    @lean
     def keep(batches):
         for batch in batches:
-            kept = []
-            for text in batch.column(at):
-                text = text.as_py()
-                if model is None or not has_letter(text):
-                    kept.append(False)
-                    continue
-                raw = _bytes(text)
-                p = model.probabilities(np.frombuffer(raw.ljust(-(-len(raw) // LENGTH) * LENGTH, b"\0"), np.uint8).reshape(-1, LENGTH))
-                weight = np.full(len(p), float(LENGTH))
-                weight[-1] = len(raw) - (len(p) - 1) * LENGTH
-                kept.append(bool((weight @ p / weight.sum()).max() >= min_score))
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            _, score = classify(batch.column(at), model)
+            yield batch.filter(pa.array([x > 0 and x >= min_score for x in score], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
