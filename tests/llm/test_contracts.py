@@ -190,15 +190,35 @@ def test_mix_edges(spark):
 # ---------------------------------------------------------------- op5
 
 
+def plain_chat(lines):
+    """Every perspective by plain loops."""
+    safe = lambda s: s.replace("<|", "<\u200b|").replace("|>", "|\u200b>")
+    talks = collections.defaultdict(list)
+    for k, (c, turn, role, text) in enumerate(lines):
+        talks[(c, k if c is None else None)].append((turn is not None, turn or 0, role or "unknown", text or ""))
+    out = []
+    for (c, _), talk in talks.items():
+        for who in {x[2] for x in talk} - {"system"}:
+            shown, mask = "", []
+            for _, _, role, text in sorted(talk):
+                shown += "<|assistant|>\n" if role == who else "<|system|>\n" if role == "system" else f"<|user name={safe(role)}|>\n"
+                start = len(shown)
+                shown += safe(text) + "<|end|>\n"
+                if role == who:
+                    mask.append(f"{start}:{len(shown)}")
+            out.append((c, who, len(talk), shown, ",".join(mask)))
+    return sorted(out, key=repr)
+
+
 def test_chat(spark):
-    lines = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 3, None, None), (None, 0, "ann", "x"), (2, 0, "system", "alone"), (3, None, "", "late"), (3, 600, "ann", "far")]
-    df = spark.createDataFrame(lines, "conv_id long, turn long, role string, text string")
-    out = {(r.conv_id, r.perspective, r.segment): r for r in chat.rotate(df).collect()}
-    assert {k[:2] for k in out} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann"), (3, "unknown"), (3, "ann")}
-    bob = out[1, "bob", 0]
+    lines = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 3, None, None), (None, 0, "ann", "x"), (None, 0, "ann", "x"), (None, 1, "system", "y"), (2, 0, "system", "alone"), (3, None, "", "late"), (3, 600, "a<|n|>n", "far"), (3, 601, "ann", "\U0001f600 " + long_text(60_000))]
+    lines += [(4, t, f"p{t % 2}", f"turn {t}") for t in range(1200)]
+    df = spark.createDataFrame([(*x, 1, "h", "b", 7, 0) for x in lines], "conv_id long, turn long, role string, text string, n int, head string, body string, at int, lines int").repartition(3)
+    got = rows(chat.chat_report(df))
+    assert got == plain_chat(lines) and [r[:3] for r in got if r[0] == 4] == [(4, "p0", 1200), (4, "p1", 1200)]
+    bob = chat.rotate(df).filter("conv_id = 1 and perspective = 'bob'").first()
     assert [bob.text[m.start : m.stop] for m in bob.mask] == ["yo<|end|>\n", "yo<|end|>\n"]
-    assert bob.text.startswith("<|system|>\nrules<|end|>\n<|user name=ann|>\nhi <​|end|​><|end|>\n<|assistant|>\n")
-    assert (3, "ann", 1) in out and out[3, "ann", 0].mask == []
+    assert bob.text.startswith("<|system|>\nrules<|end|>\n<|user name=ann|>\nhi <\u200b|end|\u200b><|end|>\n<|assistant|>\n")
     assert chat.rotate(df.limit(0)).count() == 0
 
 

@@ -7,61 +7,64 @@ with their end mark; everything else is context.
 
     <|assistant|>\\n...<|end|>\\n   <|user name=bob|>\\n...<|end|>\\n   <|system|>\\n...<|end|>\\n
 
-Turns are rendered in segments of ``segment_turns`` by turn number; a dialogue of
-usual length is segment 0. So a conversation of any length never gathers in one
-task, and a reader joins segments in order.
+A conversation is shuffled once. Where a line stands in any rendering follows from
+two running sums that don't depend on the perspective, the lengths before it as
+others see them and its speaker's own lines before it, so the mask is found before
+the lines are gathered and nothing is folded over a dialogue. A dialogue of any
+length is one row for each participant, as the format asks; that row is what a
+task has to hold.
 
 Semantics: null text is empty; a null or empty role is ``unknown``; lines with
-equal turn are ordered by role and text, null turns come first, in segment 0;
-null ``conv_id`` is one conversation; repeated rows are rendered each; a
-conversation of system lines only has no perspective and gives no row; the marks
-``<|`` and ``|>`` inside texts and names are written ``<\\u200b|`` and ``|\\u200b>``;
-other columns are ignored; an empty table gives an empty result.
+equal turn are ordered by role and text, null turns come first; a line with a null
+``conv_id`` belongs to no conversation and is a dialogue of its own, so such lines
+never gather; repeated rows are rendered each; a conversation of system lines only
+has no perspective and gives no row; the marks ``<|`` and ``|>`` inside texts and
+names are written ``<\\u200b|`` and ``|\\u200b>``; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_MINE = "<|assistant|>\n"
+
 
 def _plain(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("<|"), F.lit("<​|")), F.lit("|>"), F.lit("|​>"))
 
 
-def rotate(conversations: DataFrame, segment_turns: int = 512, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, perspective, segment, n_turns, text, mask (array of start, stop)."""
+def _lines(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """conv_id, turn, role, text, and head and body as anyone but the speaker sees them."""
     role = F.coalesce(F.nullif(F.col(role_col), F.lit("")), F.lit("unknown"))
     lines = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    segment = F.coalesce(F.floor(F.col("turn") / segment_turns), F.lit(0)).cast("long")
-    speakers = lines.filter("role <> 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
-    parts = lines.groupBy("conv_id", segment.alias("segment")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63) + 1)).alias("turn"), "role", "text"))).alias("lines"))
-    both = parts.join(speakers.withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
-
-    def render(x: Column) -> Column:
-        who = (
-            F.when(x["role"] == F.col("perspective"), F.lit("<|assistant|>\n"))
-            .when(x["role"] == "system", F.lit("<|system|>\n"))
-            .otherwise(F.concat(F.lit("<|user name="), _plain(x["role"]), F.lit("|>\n")))
-        )
-        body = F.concat(_plain(x["text"]), F.lit("<|end|>\n"))
-        return F.struct(who.alias("head"), body.alias("body"), (x["role"] == F.col("perspective")).alias("mine"))
+    head = F.when(F.col("role") == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), _plain(F.col("role")), F.lit("|>\n")))
+    return lines.withColumn("head", head).withColumn("body", F.concat(_plain(F.col("text")), F.lit("<|end|>\n")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["head"])
-        stop = start + F.length(x["body"])
-        mask = F.when(x["mine"], F.concat(acc["mask"], F.array(F.struct(start.alias("start"), stop.alias("stop"))))).otherwise(acc["mask"])
-        return F.struct(stop.alias("at"), mask.alias("mask"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("mask"))
-    shown = both.withColumn("shown", F.transform("lines", render))
-    return shown.select(
+def rotate(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """conv_id, perspective, n_turns, text, mask (array of start, stop): a row a participant."""
+    lines = _lines(conversations, conv_col, turn_col, role_col, text_col)
+    order = [F.col("turn").asc_nulls_first(), "role", "text"]
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("conv_id", "role").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    shown = (F.length("head") + F.length("body")).cast("long")
+    placed = lines.filter("conv_id is not null").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
+    placed = placed.withColumn("at", F.coalesce(F.sum(shown).over(before), F.lit(0)) + F.count("*").over(own) * (F.lit(len(_MINE)) - F.length("head")) + len(_MINE))
+    line = F.struct("n", "role", "head", "body", "at")
+    talks = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    alone = lines.filter("conv_id is null").select("conv_id", F.array(F.struct(F.lit(1).alias("n"), "role", "head", "body", F.lit(len(_MINE)).cast("long").alias("at"))).alias("lines"))
+    talks = talks.union(alone)
+    speakers = F.array_except(F.array_distinct(F.transform("lines", lambda x: x["role"])), F.array(F.lit("system")))
+    each = talks.select("conv_id", "lines", F.explode(speakers).alias("perspective"))
+    mine = lambda x: x["role"] == F.col("perspective")
+    return each.select(
         "conv_id",
         "perspective",
-        "segment",
         F.size("lines").cast("long").alias("n_turns"),
-        F.array_join(F.transform("shown", lambda x: F.concat(x["head"], x["body"])), "").alias("text"),
-        F.aggregate("shown", first, step)["mask"].alias("mask"),
+        F.array_join(F.transform("lines", lambda x: F.concat(F.when(mine(x), F.lit(_MINE)).otherwise(x["head"]), x["body"])), "").alias("text"),
+        F.transform(F.filter("lines", mine), lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["body"])).alias("stop"))).alias("mask"),
     )
 
 

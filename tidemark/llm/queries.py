@@ -118,23 +118,23 @@ ORACLE_SQL: dict[str, str] = {
         FROM d WINDOW w AS (PARTITION BY t)""",
     "op5_chat_rotation": """
         WITH l AS (
-            SELECT conv_id, coalesce(turn // 512, 0) AS segment, turn, coalesce(nullif(role, ''), 'unknown') AS role,
+            SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(nullif(role, ''), 'unknown') AS role,
                    replace(replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>') AS text,
                    row_number() OVER (ORDER BY conv_id, turn NULLS FIRST, role, text) AS n
             FROM conversations
         ),
-        p AS (SELECT DISTINCT conv_id, role AS perspective FROM l WHERE role <> 'system'),
+        p AS (SELECT DISTINCT conv_id, lone, role AS perspective FROM l WHERE role <> 'system'),
         r AS (
-            SELECT l.conv_id, perspective, segment, n, role = perspective AS mine,
+            SELECT l.conv_id, l.lone, perspective, n, role = perspective AS mine,
                    CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
-                        ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
+                        ELSE '<|user name=' || replace(replace(role, '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>') || '|>' END || chr(10) AS head,
                    text || '<|end|>' || chr(10) AS body
-            FROM l JOIN p ON l.conv_id IS NOT DISTINCT FROM p.conv_id
+            FROM l JOIN p ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.lone IS NOT DISTINCT FROM p.lone
         ),
-        o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY n) AS stop FROM r)
-        SELECT conv_id, perspective, segment, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
+        o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, lone, perspective ORDER BY n) AS stop FROM r)
+        SELECT conv_id, perspective, count(*) AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
                coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY n) FILTER (mine), '') AS mask
-        FROM o GROUP BY conv_id, perspective, segment""",
+        FROM o GROUP BY conv_id, lone, perspective""",
     "op3_substring_dedup": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         w AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d),
