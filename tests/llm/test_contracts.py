@@ -363,8 +363,58 @@ def test_values_beside_other_digits(text):
     assert set(spans) <= {value, "2024-05-06"} and ("2024-05-06" in text) == ("2024-05-06" in spans)
 
 
+DATES = ["3/7/2021", "12/25/1999", "25/12/1999", "3/17/2021", "03/7/2021", "30.1.2001", "1.2.2003", "01.02.2003", "12.25.1999", "2020/02/29", "29.2.2000", "31/1/1950"]
+
+
+@pytest.mark.parametrize("date", DATES)
+def test_dates_keep_their_shape(date):
+    for key in (b"a", b"b", b"c", b"d", b"e", b"f"):
+        new, count = pii.replace(f"on {date}, so", pii.Feistel(key))
+        assert count["date"] == 1 and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", f"on {date}, so")
+        assert pii.replace(new, pii.Feistel(key, decrypt=True))[0] == f"on {date}, so"
+    assert len({pii.replace(date, pii.Feistel(bytes([k])))[0] for k in range(30)}) > 20
+
+
+def test_date_permutation():
+    """A shape's dates are permuted among themselves."""
+    f, some = pii.Feistel(b"k"), pii._dates("1", "1", 1)
+    assert len(some) == 200 * 81 and len({f(n, len(some), "x") for n in range(len(some))}) == len(some)
+
+
+def test_finder_on_random_text():
+    """Planted values are found whole between random words, and their text comes back."""
+    rng, f, g = random.Random(3), pii.Feistel(b"k"), pii.Feistel(b"k", decrypt=True)
+    noise = ["v1.2", "x7", "A-9", "12", "3,5", "(a)", "no.", "1/2", "q@", "2:30", "\u00e9t\u00e9", "\U0001f600", "99%", "#4", "www"]
+    values = [*PRIVATE.values(), *DATES, "bob_smith+x@a-b.co.uk", "555-123-4567", "4111111111111111", "10.0.0.1", "DE89370400440532013000"]
+    for _ in range(400):
+        planted = [rng.choice(values) for _ in range(rng.randrange(1, 5))]
+        text, want = "", []
+        for v in planted:
+            text += " ".join(rng.choice(noise) for _ in range(rng.randrange(1, 6))) + " is "
+            want.append((len(text), len(text) + len(v)))
+            text += v + " and "
+        assert [(a, b) for a, b, _, _ in pii.find(text, f)] == want, text
+        new = pii.replace(text, f)[0]
+        assert all(v not in new for v in planted) and pii.replace(new, g)[0] == text
+
+
+def test_long_logs_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        text = " ".join(f"2024-05-{k % 28 + 1:02d} a{k}@x.org 10.0.{k % 256}.7" for k in range(n))
+        assert len(list(pii.find(text, pii.Feistel(b"k")))) == 3 * n
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(8000) < 16 * max(0.02, seconds(1000))
+
+
 def test_pii_in_spark(spark):
-    docs = documents(spark, [(1, "mail ann.lee@example.com now"), (2, None), (3, ""), (4, "plain"), (5, "x ann.lee@example.com")])
+    some = [(1, "mail ann.lee@example.com now"), (2, None), (3, ""), (4, "plain"), (5, "x ann.lee@example.com"), (6, long_text() + " 10.1.2.3"), (7, "twice 10.1.2.3"), (7, "twice 10.1.2.3")]
+    docs = documents(spark, some)
+    assert [tuple(r[:2]) for r in rows(pii.pii_report(docs))] == sorted(((d, t and pii.replace(t, pii.Feistel(b"tidemark"))[0]) for d, t in some), key=repr)
     got = {r.doc_id: r for r in pii.pii_report(docs).collect()}
     assert got[2].text is None and got[3].text == "" and got[4].text == "plain" and got[1].n_email == 1
     assert got[1].text.split()[1] == got[5].text.split()[1] != "ann.lee@example.com"

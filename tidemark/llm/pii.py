@@ -10,16 +10,22 @@ groups can be read as a card in several ways and the pseudonym is read otherwise
 
 Kinds: email (all but the top-level label), phone (national digits), card (Luhn;
 the first digit stays), ip (v4), date (ISO or with slashes or dots, 1900-2099),
-iban (mod 97; country stays), ssn (area, group and serial rules).
+iban (mod 97; country stays), ssn (area, group and serial rules). A date goes to a
+date of the same shape: one digit stays one, a leading zero stays one, and where
+only one order of day and month makes sense the new date has that order too; with
+slashes an order that could be either is month first, with dots day first.
 
 Semantics: null text stays null; equal rows stay equal; a text without such
-values is unchanged byte for byte; other columns are kept (:func:`pseudonymise`)
-and may have any names; an empty table gives an empty result.
+values is unchanged byte for byte; a text of any length is read whole, and the time
+grows with its length; other columns are kept (:func:`pseudonymise`) and may have
+any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -28,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 ROUNDS = 8
 KINDS = ("email", "phone", "card", "ip", "date", "iban", "ssn")
 
@@ -135,18 +143,43 @@ _FIRST = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST
 
 
+def _field(s: str, short: bool) -> str:
+    """Shape of a day or month: ``1`` one digit, ``0`` a leading zero beside one digit, ``2`` two digits beside one, ``p`` padded."""
+    return "1" if len(s) == 1 else "p" if not short else "0" if s[0] == "0" else "2"
+
+
+_RANGES = {"1": range(1, 10), "0": range(1, 10), "2": range(10, 32), "p": range(1, 32)}
+
+
+@functools.lru_cache(maxsize=64)
+def _dates(day: str, month: str, least_day: int) -> list[int]:
+    """All days of the calendar, from 0, whose day and month have these shapes."""
+    out = []
+    for n in range(_DAYS):
+        x = datetime.date.fromordinal(_FIRST + n)
+        if x.day in _RANGES[day] and x.month in _RANGES[month] and x.day >= least_day:
+            out.append(n)
+    return out
+
+
 def _date(s: str, f: Feistel) -> str | None:
     a, sep, b, _, c = re.fullmatch(r"(\d+)([-/.])(\d+)([-/.])(\d+)", s).groups()
-    order = "ymd" if len(a) == 4 else "mdy" if sep == "/" else "dmy"
+    order, least_day = "ymd" if len(a) == 4 else "mdy" if sep == "/" else "dmy", 1
     v = dict(zip(order, (a, b, c)))
+    if order != "ymd" and int(v["m"]) > 12 >= int(v["d"]):
+        order, least_day = ("dmy" if order == "mdy" else "mdy"), 13
+        v = dict(zip(order, (a, b, c)))
     try:
         day = datetime.date(int(v["y"]), int(v["m"]), int(v["d"])).toordinal() - _FIRST
     except ValueError:
         return None
     if not 0 <= day < _DAYS:
         return None
-    new = datetime.date.fromordinal(_FIRST + f(day, _DAYS, "date"))
-    out = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+    short = min(len(v["d"]), len(v["m"])) == 1
+    shape = _field(v["d"], short), _field(v["m"], short)
+    every = _dates(*shape, least_day)
+    new = datetime.date.fromordinal(_FIRST + every[f(bisect.bisect_left(every, day), len(every), f"date|{''.join(shape)}|{least_day}")])
+    out = {"y": f"{new.year:04d}"} | {k: f"{x:02d}" if kind in "0p" else str(x) for k, kind, x in (("d", shape[0], new.day), ("m", shape[1], new.month))}
     return sep.join(out[k] for k in order)
 
 
@@ -186,6 +219,23 @@ _NUMBERS: tuple[tuple[str, re.Pattern, Callable], ...] = (
 )
 
 
+class _Spans:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        at = bisect.bisect_left(self.starts, b)
+        return not at or self.ends[at - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        at = bisect.bisect_left(self.starts, a)
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+
+
 def find(text: str, f: Feistel) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of every value, in order, none overlapping."""
     found: list[tuple[int, int, str, str]] = []
@@ -198,29 +248,31 @@ def find(text: str, f: Feistel) -> Iterator[tuple[int, int, str, str]]:
             found.append((start, m.end(), "email", _email(text[start : m.end()], f)))
             floor = m.end()
         at = text.find("@", max(at + 1, floor))
-    free = lambda a, b: not any(x < b and a < y for x, y, _, _ in found)
+    taken = _Spans()
+    for start, end, _, _ in found:
+        taken.add(start, end)
     for m in _IBAN.finditer(text):
         for end in range(m.end(), m.start() + 14, -1):
             if end < m.end() and text[end : end + 1].isalnum() and text[end - 1] != " " and text[end] != " ":
                 continue
-            if (new := _iban(text[m.start() : end].rstrip(), f)) and free(m.start(), end):
+            if (new := _iban(text[m.start() : end].rstrip(), f)) and taken.free(m.start(), end):
                 found.append((m.start(), m.start() + len(new), "iban", new))
+                taken.add(m.start(), m.start() + len(new))
                 break
     for run in _RUN.finditer(text):
         a = run.start()
-        taken: list[tuple[int, int]] = []
         for kind, pattern, change in _NUMBERS:
             m = pattern.search(text, a, run.end())
             while m:
                 s, e = m.span()
                 off = text[e : e + 1].isalnum() or text[s - 1 : s].isalnum() and text[s] not in "+("
-                if off or any(x < e and s < y for x, y in taken) or not free(s, e) or not (new := change(m.group(), f)):
+                if off or not taken.free(s, e) or not (new := change(m.group(), f)):
                     # A rejected match may hold a shorter value, or a value that starts at a later group.
                     shorter = pattern.match(text, s, e - 1) if kind in ("card", "phone") else None
                     m = shorter or pattern.search(text, s + 1, run.end())
                     continue
                 found.append((s, e, kind, new))
-                taken.append((s, e))
+                taken.add(s, e)
                 m = pattern.search(text, e, run.end())
     return iter(sorted(found))
 
@@ -247,6 +299,7 @@ def pseudonymise(docs: DataFrame, key: bytes = b"tidemark", text_col: str = "tex
     for kind in KINDS if counts else ():
         schema = schema.add(f"n_{kind}", "long")
 
+    @lean
     def change(batches):
         f = Feistel(key, decrypt)
         for batch in batches:
