@@ -442,6 +442,48 @@ def test_myers():
         assert (got[0] if got else None) == (d if text else None)
 
 
+def test_spans_keep_the_budget():
+    """Whatever at most k edits do, some piece stays and all spans above it keep theirs."""
+    rng = random.Random(6)
+    for _ in range(200):
+        item = " " + "".join(rng.choice("abcde ") for _ in range(rng.randrange(8, 90))) + " "
+        k = len(item) // 10
+        cuts = decontam.pieces(item, k)
+        assert "".join(p for _, p in cuts) == item and len(cuts) == k + 1
+        edits = [rng.randrange(len(item)) for _ in range(rng.randrange(k + 1))]
+        holds = lambda a, b: sum(a <= x < b for x in edits)
+        assert any(not holds(a, a + len(p)) and all(holds(x, y) <= e for x, y, e in decontam.spans(a, len(item), k)) for a, p in cuts)
+
+
+def test_large_benchmarks_fit():
+    """A 50,000-character item with edits, and the index of one block of 800-character items."""
+    import tracemalloc
+
+    rng = random.Random(11)
+    make = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    long = decontam.normalise(make(50_000))
+    edited = list(long)
+    for p in rng.sample(range(1, len(long) - 1), 300):
+        edited[p] = "z"
+    tracemalloc.start()
+    index = decontam.Index([long], 0.1)
+    assert index.find(decontam.normalise("before " + "".join(edited) + " after")) == {0: 300}
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    items = [decontam.normalise(make(800)) for _ in range(2500)]
+    tracemalloc.start()
+    index = decontam.Index(items, 0.1)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert index.find(items[7] + make(100)).keys() == {7}
+
+
+def test_short_items_are_whole_words(spark):
+    bench = spark.createDataFrame([(1, "cat"), (2, " , ")], "item_id long, text string")
+    got = decontam.contaminated(documents(spark, [(1, "a CAT!"), (2, "concatenate"), (1, "cat"), (None, "cat")]), bench)
+    assert rows(got) == sorted([(1, 1, 0, 0), (1, 1, 0, 0), (None, 1, 0, 0)], key=repr)
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     make = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(n))
