@@ -1,6 +1,7 @@
 """Each operator against a plain form of its definition, on awkward rows."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -47,7 +48,9 @@ def test_ledger_is_incremental(spark, tmp_path):
     newer = (*secrets.RULES[:2], secrets.Rule("hex", 2, "[0-9a-f]{8,}", 0, 8))
     secrets.scan(v2, path, ["path"], rules=newer).collect()
     ledger = spark.read.parquet(path)
-    assert ledger.count() == 3 * 3 + 2 and ledger.filter("rule = 'hex@2'").count() == 2
+    assert ledger.count() == 3 * 3 + 2 and ledger.filter(f"rule = '{newer[2].key}'").count() == 2
+    changed = (*secrets.RULES[:2], secrets.Rule("hex", 1, "[0-9a-f]{2,}", 0, 2))
+    assert changed[2].key != secrets.RULES[2].key
 
 
 # ---------------------------------------------------------------- op2
@@ -103,6 +106,35 @@ def test_encoder_agrees_with_the_library():
 # ---------------------------------------------------------------- op3
 
 
+def thue_morse(n, a="a", b="b"):
+    """A word that collides with its opposite under polynomial hashes modulo 2**64."""
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_words_that_fool_polynomials(spark):
+    docs = [(k, " ".join([f"w{i}" for i in range(6)] + [w] + [f"v{i}" for i in range(6)])) for k, w in enumerate((thue_morse(1024), thue_morse(1024, "b", "a")))]
+    docs += [(2, " ".join(thue_morse(64, f"x{i}", f"y{i}") for i in range(13))), (3, " ".join(thue_morse(64, f"y{i}", f"x{i}") for i in range(13)))]
+    assert {r.n_removed for r in substring_dedup.substring_dedup(documents(spark, docs)).collect()} == {0}
+    assert all(r.kept for r in near_dedup.near_duplicates(documents(spark, docs)).collect())
+
+
+def test_word_hashes_tell_words_apart():
+    """All short words, long ones that differ in one byte, and words across the piece limit."""
+    import itertools
+
+    import pyarrow as pa
+    from tidemark.llm import wordhash
+
+    words_ = ["".join(c) for n in (1, 2, 3) for c in itertools.product("abcdefgh", repeat=n)] + ["x" * n + c for n in (7, 8, 15, 16, 255, 256, 257, 5000) for c in "pq"]
+    for key in (1, 2**63 + 5):
+        got = [w.hashes.tolist() for _, _, w in wordhash.text_words(pa.array([" ".join(words_), None, "\n".join(words_)]), keys=(key,))]
+        flat = [h for part in got for h in part]
+        assert flat[: len(words_)] == flat[len(words_) :] and len(set(flat)) == len(words_)
+    long = pa.array(["word " * 200_000 + "end"])
+    (_, _, w), = wordhash.text_words(long)
+    assert len(w.hashes) == 200_001 and len(set(w.hashes.tolist())) == 2
+
+
 def plain_substring(docs, n=13):
     key = lambda d: float("inf") if d is None else d
     first = {}
@@ -248,6 +280,28 @@ def plain_near(docs, percent=85):
     return sorted(((d, len(sets[k]), least[find(k)], d == least[find(k)]) for k, (d, _) in enumerate(docs)), key=repr)
 
 
+def test_shingles_are_real_words():
+    rng = random.Random(12)
+    bodies = [b" ".join(rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(5, 40))) for _ in range(60)]
+    row, x = near_dedup.shingle_ids(bodies)
+    want = [(k, tuple(w[i : i + 5])) for k, w in enumerate(b.split(b" ") for b in bodies) for i in range(len(w) - 4)]
+    assert row.tolist() == [k for k, _ in want] and len(set(zip(x.tolist(), [s for _, s in want]))) == len(set(x.tolist())) == len({s for _, s in want})
+    sets = [{s for k, s in want if k == d} for d in range(60)]
+    for percent in (50, 85):
+        got = near_dedup._compare(bodies[0], bodies[1:], percent)
+        assert got.tolist() == [100 * len(sets[0] & s) >= percent * len(sets[0] | s) for s in sets[1:]]
+
+
+def test_near_pairs_at_the_limit(spark):
+    """Planted pairs just at and just below 85 %, and 300 a little above: none is lost."""
+    docs = []
+    for k in range(300):
+        w = [f"p{k}w{i}" for i in range(204)]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: (174 if k < 150 else 175 + k % 20) if k % 3 else 173]))]
+    got = rows(near_dedup.near_duplicates(documents(spark, docs)))
+    assert got == plain_near(docs) and sum(not r[3] for r in got) == sum(1 for k in range(300) if k % 3)
+
+
 def test_near(spark):
     assert rows(near_dedup.near_duplicates(documents(spark))) == plain_near(texts())
     assert rows(near_dedup.near_duplicates(empty(spark))) == []
@@ -305,6 +359,52 @@ def test_language(spark, sf_dir):
     assert sum(a == b for a, b in held) / len(held) >= 0.9 and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_network(model, window):
+    """Probabilities of one window by plain loops."""
+    v = [model.embed[b].tolist() for b in window]
+    top = []
+    for f in range(model.filters.shape[1]):
+        weights = model.filters[:, f].tolist()
+        values = []
+        for p in range(langid.LENGTH - 3):
+            flat = [x for j in range(4) for x in v[p + j]]
+            values.append(sum(a * b for a, b in zip(flat, weights)))
+        top.append(max(0.0, max(values) + float(model.bias[f])))
+    z = [sum(t * float(model.out[f, k]) for f, t in enumerate(top)) + float(model.out_bias[k]) for k in range(len(model.languages))]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_network_against_plain_loops(monkeypatch):
+    """Windows, their weights and the convolution; texts cut into pieces give the same."""
+    model = langid.train(["abc def"] * 8 + ["xyz uvw"] * 8 + ["klm nop"] * 8, ["a"] * 8 + ["b"] * 8 + ["c"] * 8, epochs=2, least_steps=20)
+    some = ["abc xyz " * 40, "UVW \u00e9", "12", None, "", "klm " * 200, "abc"]
+    want = []
+    for t in some:
+        if not t or not any(c.isalpha() for c in t):
+            want.append(("und", 0.0))
+            continue
+        raw = t.lower().encode()
+        parts = [raw[a : a + 256] for a in range(0, len(raw), 256)]
+        p = [sum(len(w) * x for w, x in zip(parts, column)) / len(raw) for column in zip(*(plain_network(model, w.ljust(256, b"\0")) for w in parts))]
+        want.append((model.languages[p.index(max(p))], max(p)))
+    for piece in (langid.PIECE, 256):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        lang, score = langid.classify(some, model)
+        assert lang == [w for w, _ in want] and np.allclose(score, [s for _, s in want], atol=1e-4)
+
+
+def test_training_rows_come_from_labelled_ones(spark, monkeypatch):
+    assert langid.quotas({"a": 3, "b": 100, "c": 50}, 60) == {"a": 3, "c": 28, "b": 29} and langid.quotas({}, 5) == {}
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs: seen.append((texts, langs)))
+    docs = [(k, f"text number {k}", "en" if k % 1300 == 0 else None) for k in range(21_000)] + [(5, "same row", "de"), (5, "same row", "de")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    usable = [lang for k, _, lang in docs if lang and zlib.crc32(str(k).encode()) % 4 != 2]
+    langid.fit(df)
+    assert sorted(seen[0][1]) == sorted(usable)
+
+
 def test_language_edges(spark):
     got = {r.doc_id: r for r in langid.language_ids(documents(spark, [(1, "hello there"), (2, None), (3, "12 34!"), (4, ""), (5, "ein Satz")])).collect()}
     assert [got[k].lang_pred for k in (2, 3, 4)] == ["und"] * 3 and got[1].lang_pred in ("en", "de")

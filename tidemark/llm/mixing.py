@@ -59,6 +59,7 @@ def balance(histogram: DataFrame, targets: DataFrame, cap: float, tilt: float, t
 
     ``histogram``: (_source, size, n) with sizes above 0. Each step is one
     aggregation of it; a step that leaves the bracket is replaced by its middle.
+    Raises if ``most_steps`` don't suffice.
     """
     shape = histogram.groupBy(_KEY).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("smallest"))
     x = F.pow(F.col("size") / F.col("mean"), F.lit(float(tilt)))
@@ -82,8 +83,8 @@ def balance(histogram: DataFrame, targets: DataFrame, cap: float, tilt: float, t
         after = F.when(done, F.col("l")).when(inside, newton).otherwise((low + high) / 2)
         state = cut(step.select(_KEY, "source_size", "target", "mean", after.alias("l"), low.alias("low"), high.alias("high"), done.alias("done")), "mix-state")
         if not state.filter(~F.col("done")).head(1):
-            break
-    return state.select(_KEY, "mean", "l")
+            return state.select(_KEY, "mean", "l")
+    raise RuntimeError(f"the multipliers did not settle in {most_steps} steps")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: int = 2, tilt: float = 0.25, group: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -125,7 +126,9 @@ def _share(copies: Column, n: Column, k: Column) -> Column:
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row."""
     done = mix(docs, **options)
-    each = done.select("*", F.explode(F.sequence(F.lit(1), F.col("n_same").cast("int"))).alias("k"))
+    # Two levels, so that a row repeated in a third of all rows makes no long array.
+    each = done.select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n_same") - 1) - (F.col("n_same") - 1) % 4096, F.lit(4096).cast("long"))).alias("k0"))
+    each = each.select("*", F.explode(F.sequence(F.col("k0") + 1, F.least(F.col("k0") + 4096, F.col("n_same")))).alias("k"))
     copies = _share(F.col("copies_all"), F.col("n_same"), F.col("k"))
     return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"))
 

@@ -9,12 +9,14 @@ findings back to all paths.
 Semantics: null text counts as the empty blob; spans are in code points, end
 exclusive; matches of one rule don't overlap and go left to right, and those
 whose ``group`` is shorter than ``at_least`` are dropped; rows with a null path
-or repeated rows are kept as they are; columns other than those named are
+or repeated rows are kept as they are; a text of any length is scanned whole, in
+one task; columns other than those named are
 ignored; an empty table gives an empty result and leaves the ledger as it was.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ from .common import fresh_path
 
 @dataclass(frozen=True)
 class Rule:
-    """``version`` changes whenever ``pattern``, ``group`` or ``at_least`` does."""
+    """The key holds a digest of the rule itself, so a changed rule is a new one under any version."""
 
     name: str
     version: int
@@ -36,7 +38,8 @@ class Rule:
 
     @property
     def key(self) -> str:
-        return f"{self.name}@{self.version}"
+        body = hashlib.sha256(f"{self.group}:{self.at_least}:{self.pattern}".encode()).hexdigest()
+        return f"{self.name}@{self.version}.{body[:12]}"
 
 
 #: In the order in which kinds are listed at equal starts.
@@ -77,7 +80,8 @@ def scan(versions: DataFrame, ledger_path: str, path_cols: Sequence[str], text_c
     ``versions`` has a row for each version of each path. The result has, for
     every row, ``blob`` (binary) and ``findings``, an array of (start, kind,
     rule, stop) in order. A text is shuffled once, and only one of equal texts
-    leaves its scan partition, so a blob of a third of all paths isn't a hot key.
+    leaves its scan partition, so a blob of a third of all paths isn't a hot key;
+    the last join has one row a blob on the right, so Spark splits its hot blobs.
     """
     spark = versions.sparkSession
     keys = [r.key for r in rules]
