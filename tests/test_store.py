@@ -95,6 +95,52 @@ def test_change_and_removal(spark, built, tmp_path):
     assert store.read("entities").filter("normalized_name = 'aria'").count() == 0
 
 
+def test_one_commit_for_all_tables(spark, tmp_path):
+    """Appends add folders; of two writers from one commit the second fails; readers never find nothing."""
+    store = Store(spark, str(tmp_path / "s"))
+    one = spark.createDataFrame([("d1", "a.md", "A", "h")], "id string, source_uri string, title string, content_hash string")
+    store.write("documents", one)
+    store.commit(append={"documents": one.withColumn("id", F.lit("d2"))})
+    assert {r.id for r in store.read("documents").collect()} == {"d1", "d2"}
+    store.commit({"documents": store.read("documents").filter("id = 'd2'")}, {"chunks": spark.createDataFrame([("c", "d2")], "id string, document_id string")})
+    assert [r.id for r in store.read("documents").collect()] == ["d2"] and store.read("chunks").count() == 1
+    late, early = Store(spark, store.root), store._latest()
+    store.compact("documents")
+    late._latest = lambda: early
+    with pytest.raises(Exception, match="exist"):
+        late.write("documents", one)
+    store.vacuum("documents")
+    assert [r.id for r in store.read("documents").collect()] == ["d2"]
+
+
+def test_a_uri_twice_in_a_batch(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    files = spark.createDataFrame([("a.md", "# A\n\none"), ("a.md", "# A\n\ntwo"), ("b.md", None)], "source_uri string, text string")
+    for skipped in (False, True):
+        got = {r.source_uri: r.skipped for r in ingest(store, files).collect()}
+        assert got["a.md"] == skipped and set(got) == {"a.md", "b.md"}
+    assert store.duplicate_keys("documents").count() == 0 and [r.text for r in store.read("chunks").collect()] == ["# A\n\ntwo"]
+
+
+def test_new_spelling_resolves_by_cosine(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    ingest(store, spark.createDataFrame([("a.md", "one"), ("b.md", "two")], "source_uri string, text string"))
+    said = {"one": "Charizardington Maximus", "two": "Charizardington Maximuss"}
+    build_graph(store, lambda i, t: {"entities": [{"name": said[t], "type": "pokemon", "aliases": None}], "relations": []} if t == "one" else {"entities": [], "relations": []}, "v1")
+    assert store.read("entities").filter("type = 'pokemon' and embedding is not null").count() == 1
+    build_graph(store, lambda i, t: {"entities": [{"name": said[t], "type": "pokemon", "aliases": None}], "relations": []}, "v2")
+    assert store.read("entities").filter("type = 'pokemon'").count() == 1
+    assert store.read("chunk_entities").count() == 2
+
+
+def test_walks_leave_the_chart_out(spark):
+    from tidemark.operators import walk
+
+    edges = spark.createDataFrame([("a", "b", "has_type", 1.0), ("b", "c", "super_effective_against", 1.0)], "source_entity_id string, target_entity_id string, relation string, confidence float")
+    seeds = spark.createDataFrame([("a", 1)], "entity_id string, mentions int")
+    assert {r.entity_id for r in walk.expand(seeds, edges).collect()} == {"a", "b"}
+
+
 def test_fusion_and_context(spark):
     rows = [("semantic", "a", 1), ("semantic", "b", 2), ("keyword", "b", 1), ("graph", "c", 1)]
     lists = [spark.createDataFrame(rows, "arm string, chunk_id string, rank int")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -33,16 +35,24 @@ def hashing_embedder(dimension: int = 256):
 
     Deterministic and offline. It knows no meaning, only shared words.
     """
+    return _hashing(dimension, lambda text: re.findall(r"\w+", text.lower()))
+
+
+def spelling_embedder(dimension: int = 256):
+    """The same of runs of three letters, for names: it knows spelling, not meaning."""
+    return _hashing(dimension, lambda text: [f"  {text.lower()} "[k : k + 3] for k in range(len(text) + 1)] if text else [])
+
+
+def _hashing(dimension: int, parts):
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        import re
         import zlib
 
         out = []
         for text in texts:
             v = np.zeros(dimension, np.float32)
-            for w in re.findall(r"\w+", (text or "").lower()):
+            for w in parts(text or ""):
                 h = zlib.crc32(w.encode())
                 v[h % dimension] += 1 if h >> 31 else -1
             n = float(np.linalg.norm(v))

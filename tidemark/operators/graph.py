@@ -97,16 +97,16 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, thresh
     """
     names = mentions.groupBy("normalized_name", "type").agg(F.first("embedding", True).alias("embedding")) if "embedding" in mentions.columns else mentions.select("normalized_name", "type", F.lit(None).cast("array<float>").alias("embedding")).distinct()
     key = ["normalized_name", "type"]
-    exact = names.join(entities.select(*key, F.col("id").alias("entity_id")), key).select(*key, "entity_id", F.lit("exact").alias("how"))
-    left = names.join(exact, key, "left_anti")
-    known = aliases.join(entities.select(F.col("id").alias("entity_id"), "type"), "entity_id").groupBy(F.col("normalized_alias").alias("normalized_name"), "type").agg(F.min("entity_id").alias("entity_id"))
-    by_alias = left.join(known, key).select(*key, "entity_id", F.lit("alias").alias("how"))
-    left = left.join(by_alias, key, "left_anti")
-    near = left.filter("embedding is not null").join(entities.filter("embedding is not null").select(F.col("id").alias("entity_id"), "type", F.col("embedding").alias("_e")), "type")
+    exact = entities.groupBy(*key).agg(F.min("id").alias("exact_id"))
+    known = aliases.join(entities.select(F.col("id").alias("entity_id"), "type"), "entity_id").groupBy(F.col("normalized_alias").alias("normalized_name"), "type").agg(F.min("entity_id").alias("alias_id"))
+    found = names.join(exact, key, "left").join(known, key, "left")
+    left = found.filter("exact_id is null and alias_id is null and embedding is not null")
+    near = left.join(entities.filter("embedding is not null").select(F.col("id").alias("entity_id"), "type", F.col("embedding").alias("_e")), "type")
     near = near.select(*key, "entity_id", F.round(cosine(F.col("embedding"), F.col("_e")), 6).alias("c")).filter(F.col("c") >= threshold)
-    near = near.groupBy(*key).agg(F.max_by("entity_id", F.struct("c", F.col("entity_id"))).alias("entity_id")).select(*key, "entity_id", F.lit("embedding").alias("how"))
-    new = left.join(near, key, "left_anti").select(*key, stable_id(F.col("type"), F.col("normalized_name")).alias("entity_id"), F.lit("new").alias("how"))
-    return reduce(DataFrame.union, [exact, by_alias, near, new])
+    near = near.groupBy(*key).agg(F.max_by("entity_id", F.struct("c", F.col("entity_id"))).alias("near_id"))
+    how = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("alias_id").isNotNull(), "alias").when(F.col("near_id").isNotNull(), "embedding").otherwise("new")
+    fresh = stable_id(F.col("type"), F.col("normalized_name"))
+    return found.join(near, key, "left").select(*key, F.coalesce("exact_id", "alias_id", "near_id", fresh).alias("entity_id"), how.alias("how"))
 
 
 # ---------------------------------------------------------------- store

@@ -38,6 +38,8 @@ def keyword_search(docs: DataFrame, query: str, k: int = 50, id_col: str = "doc_
     if not wanted:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
     words = docs.select(id_col, ANALYZERS[analyzer](F.col(text_col)).alias("terms"))
+    # Through a generator, so that no filter below is pushed to copy the tokenizer once a term.
+    words = words.select(F.inline(F.array(F.struct(id_col, "terms"))))
     tf = [F.size(F.filter("terms", _is(t))).cast("double") for t in wanted]
     rows = words.select(id_col, F.size("terms").cast("double").alias("length"), F.array(*tf).alias("tf"))
     stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"), F.array(*[F.sum((F.col("tf")[i] > 0).cast("double")) for i in range(len(wanted))]).alias("df"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from .functions.vocab import WALK_RELATIONS
+
 
 @dataclass(frozen=True)
 class ChunkOptions:
@@ -16,12 +18,12 @@ class ChunkOptions:
 
 @dataclass(frozen=True)
 class WalkOptions:
-    """Graph walk: hop limit, node cap, budget at each hop, relations (None: all)."""
+    """Graph walk: hop limit, node cap, budget at each hop, relations (None: all; by default not those of the type chart)."""
 
     max_hops: int = 2
     max_nodes: int = 50
     max_nodes_per_hop: int | None = None
-    relations: tuple[str, ...] | None = None
+    relations: tuple[str, ...] | None = WALK_RELATIONS
 
 
 @dataclass(frozen=True)

@@ -67,8 +67,10 @@ def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = change_detection(spark, sf_dir).select((F.col("change") == "same").alias("skipped"), F.lit(1).alias("chunks_created"))
-    return ingest.summary(done.withColumn("chunks_created", F.when(F.col("skipped"), 0).otherwise(1)))
+    made = chunk_counts(spark, sf_dir).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_uri"), "chunks")
+    skipped = F.col("change") == "same"
+    done = change_detection(spark, sf_dir).join(made, "source_uri", "left").select(skipped.alias("skipped"), F.when(skipped, 0).otherwise(F.coalesce("chunks", F.lit(0))).alias("chunks_created"))
+    return ingest.summary(done)
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +82,7 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _t(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("name"))
-    return words.select("doc_id", X.normalise_name("name").alias("normalized_name"))
+    return _t(spark, sf_dir, "documents").select("doc_id", X.normalise_name("text").alias("normalized_name"))
 
 
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,18 +155,30 @@ def _seed(spark: SparkSession) -> DataFrame:
 
 
 def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walk.expand(_seed(spark), star.edges(spark, sf_dir), WalkOptions(max_hops=2, max_nodes=0)).select("entity_id", "hops")
+    return walk.expand(_seed(spark), star.edges(spark, sf_dir), WalkOptions(max_hops=2, max_nodes=0, relations=None)).select("entity_id", "hops")
 
 
 def graph_reached_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reached = walk.expand(_seed(spark), star.edges(spark, sf_dir), WalkOptions(max_hops=2, max_nodes=0))
+    reached = walk.expand(_seed(spark), star.edges(spark, sf_dir), WalkOptions(max_hops=2, max_nodes=0, relations=None))
     none = spark.createDataFrame([], "chunk_id string")
     return walk.reached_chunks(reached, star.mentions(spark, sf_dir), none).select("chunk_id", "hops", "confidence", "mentions")
 
 
 def graph_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([("o:1",)], "chunk_id string")
-    return walk.graph_search(seeds, star.mentions(spark, sf_dir), star.edges(spark, sf_dir), WalkOptions(max_hops=2, max_nodes=0), k=50).select("chunk_id", "hops", "confidence", "mentions", "rank")
+    return walk.graph_search(seeds, star.mentions(spark, sf_dir), star.edges(spark, sf_dir), WalkOptions(max_hops=2, max_nodes=0, relations=None), k=50).select("chunk_id", "hops", "confidence", "mentions", "rank")
+
+
+def graph_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hops with a budget of 15 nodes and a cap of 25 in all."""
+    return walk.expand(_seed(spark), star.edges(spark, sf_dir), WalkOptions(max_hops=2, max_nodes=25, max_nodes_per_hop=15, relations=None)).select("entity_id", "hops", F.col("weight").alias("links"))
+
+
+def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three arms of unequal weight; the graph's orders stand for documents of their number."""
+    reached = graph_arm(spark, sf_dir).select(F.lit("graph").alias("arm"), F.substring("chunk_id", 3, 20).cast("long").alias("doc_id"), "rank")
+    weights = (("semantic", 1.0), ("keyword", 0.5), ("graph", 2.0))
+    return fusion.reciprocal_rank_fusion([*_arms(spark, sf_dir), reached], RetrievalOptions(weights=weights), "doc_id")
 
 
 def graph_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +253,7 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     semantic_topk, semantic_batch_topk, semantic_lsh_topk, vector_norms, document_hash_title, change_detection, ingest_summary, chunk_documents, chunk_counts,
     normalised_names, previews, scrubbed_documents, keyword_topk, keyword_english_topk, inverted_index, keyword_index_topk, rank_fusion, reranked, context_passages, arm_hit_rates,
-    graph_expand, graph_reached_chunks, graph_arm, graph_facts, type_matchups, type_matchup_lines, edge_upsert, orphan_collection, pending_extractions, name_resolution,
+    graph_expand, graph_reached_chunks, graph_arm, graph_budget, weighted_fusion, graph_facts, type_matchups, type_matchup_lines, edge_upsert, orphan_collection, pending_extractions, name_resolution,
     relation_counts, uncited_edges, cascade_delete,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
@@ -316,6 +329,14 @@ _MATCH = f"""
     typed AS (SELECT DISTINCT 'p:' || p_partkey AS entity_id, unnest([{_KINDS}[p_partkey % 18 + 1], {_KINDS}[p_size % 18 + 1]]) AS type FROM part),
     m AS (SELECT entity_id, attacker, product(multiplier) AS multiplier FROM typed JOIN chart ON type = defender GROUP BY ALL HAVING product(multiplier) <> 1)"""
 
+#: Forms, real and made up ones of the test data, that the published rules of the English stemmer take to one stem.
+_REST = "('rest', 'rests', 'rested', 'resting', 'restings', 'restful', 'restfully', 'restfulness', 'restness', 'restly', 'restes', 'restlyed', 'restingly', 'restedly')"
+_ENGLISH = f"""
+    words AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'),
+                                         lambda w: w <> '' AND w NOT IN ({", ".join(f"'{w}'" for w in sorted(X.STOP_WORDS))})) AS terms FROM documents),
+    counted AS (SELECT doc_id, len(terms)::DOUBLE AS length, len(list_filter(terms, lambda w: w IN {_REST}))::DOUBLE AS tf FROM words),
+    stats AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean, count(*) FILTER (tf > 0)::DOUBLE AS df FROM counted)"""
+
 ORACLE_SQL: dict[str, str] = {
     "semantic_topk": f"WITH {_NEAR} SELECT vec_id, label, similarity FROM near ORDER BY similarity DESC, vec_id LIMIT 10",
     "semantic_batch_topk": f"WITH {_BATCH} SELECT query_id, vec_id, similarity, rank FROM best",
@@ -323,16 +344,20 @@ ORACLE_SQL: dict[str, str] = {
     "document_hash_title": r"""SELECT 'doc/' || doc_id || '.md' AS source_uri, sha256(text) AS content_hash,
         coalesce(nullif(trim(regexp_extract(text, '(?m)^#\s+(.+)$', 1)), ''), doc_id::VARCHAR) AS title FROM documents""",
     "change_detection": f"{_CHANGE} SELECT source_uri, change FROM c",
-    "ingest_summary": f"""{_CHANGE} SELECT count(*) FILTER (change <> 'same') AS ingested, count(*) FILTER (change = 'same') AS skipped,
-        (count(*) FILTER (change <> 'same'))::BIGINT AS chunks FROM c""",
+    "ingest_summary": f"""WITH {_CHUNKS.strip()}, {_CHANGE.strip().removeprefix("WITH")},
+        k AS (SELECT 'doc/' || doc_id || '.md' AS source_uri, count(*) AS n FROM chunks GROUP BY doc_id)
+        SELECT count(*) FILTER (change <> 'same') AS ingested, count(*) FILTER (change = 'same') AS skipped,
+               coalesce(sum(n) FILTER (change <> 'same'), 0)::BIGINT AS chunks FROM c LEFT JOIN k USING (source_uri)""",
     "chunk_documents": f"WITH {_CHUNKS.strip()} SELECT doc_id, ordinal, text FROM chunks",
     "chunk_counts": f"WITH {_CHUNKS.strip()} SELECT doc_id, count(*) AS chunks, max(length(text))::INT AS longest FROM chunks GROUP BY doc_id",
-    "normalised_names": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(substring(text, 1, 60))), '[''’‘ʼ`]', '', 'g'),
+    "normalised_names": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[''’‘ʼ`]', '', 'g'),
         '[^\p{L}\p{N}♀♂]+', ' ', 'g')) AS normalized_name FROM documents""",
     "previews": "SELECT doc_id, replace(substring(text, 1, 200), chr(10), ' ') AS preview FROM documents",
     "scrubbed_documents": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'),
         '\b[0-9]{13,19}\b', '[card]', 'g'), '\+[0-9][0-9 ().-]{7,}[0-9]', '[phone]', 'g') AS text FROM documents""",
     "keyword_topk": f"WITH {_BM25} SELECT doc_id, score FROM keyword",
+    "keyword_english_topk": f"""WITH {_ENGLISH} SELECT doc_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)), 6) AS score
+        FROM counted, stats WHERE tf > 0 ORDER BY score DESC, doc_id LIMIT 50""",
     "keyword_index_topk": f"WITH {_BM25} SELECT doc_id, score FROM keyword",
     "inverted_index": f"WITH {_TERMS} SELECT term, doc_id, tf, length FROM idx",
     "rank_fusion": f"WITH {_FUSED} SELECT doc_id, score, arms FROM fused",
@@ -350,6 +375,24 @@ ORACLE_SQL: dict[str, str] = {
     "graph_reached_chunks": f"{_FROM_S1} SELECT chunk_id, hops, confidence, mentions FROM near",
     "graph_arm": _REACH.replace("SEEDS", "(SELECT list(entity_id) FROM mentions WHERE chunk_id = 'o:1')")
     + " SELECT *, row_number() OVER (ORDER BY hops, confidence DESC, mentions DESC, chunk_id)::INT AS rank FROM near WHERE chunk_id <> 'o:1' ORDER BY rank LIMIT 50",
+    "graph_budget": f"""
+        WITH {star.SQL.strip()},
+        h1 AS (SELECT b AS entity_id, 1 AS hops, count(DISTINCT a) AS links FROM links WHERE a = 's:1' AND b <> 's:1' GROUP BY b ORDER BY links DESC, entity_id LIMIT 15),
+        h2 AS (
+            SELECT b AS entity_id, 2 AS hops, count(DISTINCT a) AS links FROM links
+            WHERE a IN (SELECT entity_id FROM h1) AND b <> 's:1' AND b NOT IN (SELECT entity_id FROM h1) GROUP BY b ORDER BY links DESC, entity_id LIMIT 15
+        )
+        SELECT * FROM (SELECT 's:1' AS entity_id, 0 AS hops, 1::BIGINT AS links UNION ALL FROM h1 UNION ALL FROM h2) ORDER BY hops, links DESC, entity_id LIMIT 25""",
+    "weighted_fusion": _REACH.replace("SEEDS", "(SELECT list(entity_id) FROM mentions WHERE chunk_id = 'o:1')").replace(" near AS (", " reached AS (")
+    + f""", {_NEAR}, {_BM25},
+        arms AS (
+            SELECT * FROM (SELECT 'semantic' AS arm, vec_id AS doc_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank, 1.0::DOUBLE AS w FROM near) WHERE rank <= 50
+            UNION ALL SELECT 'keyword', doc_id, row_number() OVER (ORDER BY score DESC, doc_id), 0.5 FROM keyword
+            UNION ALL SELECT * FROM (SELECT 'graph', substring(chunk_id, 3)::BIGINT, row_number() OVER (ORDER BY hops, confidence DESC, mentions DESC, chunk_id) AS rank, 2.0
+                                     FROM reached WHERE chunk_id <> 'o:1') WHERE rank <= 50
+        )
+        SELECT doc_id, round(sum(w / (60.0::DOUBLE + rank)), 9) AS score, string_agg(DISTINCT arm, ',' ORDER BY arm) AS arms
+        FROM arms GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""",
     "graph_facts": f"""
         WITH {star.SQL.strip()},
         w AS (SELECT entity_id, sum(mentions) AS weight FROM mentions GROUP BY entity_id ORDER BY weight DESC, entity_id LIMIT 20),

@@ -31,8 +31,7 @@ def stream_folder(store: Store, folder: str, checkpoint: str, quarantine: str, a
         marked = batch.withColumn("reason", bad)
         failed = marked.filter("reason is not null")
         failed.select(job_id(F.col("text")).alias("job_id"), "source_uri", "reason", F.lit(number).alias("batch")).write.mode("append").parquet(quarantine)
-        good = marked.filter("reason is null").groupBy("source_uri").agg(F.last("text").alias("text"))
-        ingest(store, good, **options)
+        ingest(store, marked.filter("reason is null").select("source_uri", "text"), **options)
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
