@@ -271,7 +271,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_words: int = 2_000_
     X.fix_splits(spark)
     senders = X.n_partitions(plain)
     bits = min(60, 34 + (senders * chunk_words // 2_000_000 * 4).bit_length())
-    owners = owners or X.owners_for(plain, 3, senders)
+    owners = owners or X.owners_for(plain, 1, senders)
     keys = (secrets.randbits(64), secrets.randbits(64))
     bounds, wide = X.bucket_bounds(bits, owners), X.bucket_bounds(62, owners)
     path1 = X.exchange(plain, send_probes, own_probes, owners, "probe-replies")
