@@ -1,3 +1,6 @@
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -12,6 +15,33 @@ def test_names():
     assert X.normalise(None) is None
 
 
+def test_texts_go_through_python_in_slices():
+    """A batch of long texts isn't held as objects at once, and a long text goes in pieces."""
+    long = "Flambée d'ΑΣ Ï̈x_1  " * 20_000
+    batch = pa.array([long, None, "", *["é" * 300_000] * 40, "Vex'd"])
+    parts = list(X.slices(batch))
+    assert pa.concat_arrays(parts).equals(batch) and all(len(p) == 1 or p.nbytes <= X.SLICE_BYTES for p in parts)
+    seen = []
+
+    class Name(str):
+        def find(self, *args):
+            return str.find(self, *args)
+
+        def __getitem__(self, at):
+            seen.append(at.stop - at.start)
+            return str.__getitem__(self, at)
+
+    bare = "".join(c for c in unicodedata.normalize("NFD", long.lower()) if not unicodedata.combining(c))
+    assert X.normalise(Name(long)) == " ".join(bare.replace("'", "").replace("_", " ").split())
+    assert max(seen) < X.PIECE + 20
+
+
+def test_names_of_many_slices(spark):
+    rows = spark.range(300).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.concat(F.lit("É-"), "id", F.lit(" ")), 2000)).alias("t"))
+    got = rows.select("t", X.normalise_name("t").alias("a"), X.normalise_name(F.upper("t")).alias("b")).collect()
+    assert len(got) == 300 and all(r.a == r.b == X.normalise(r.t) for r in got)
+
+
 def test_stems():
     pairs = dict(running="run", caresses="caress", ties="tie", cries="cri", hopping="hop", hoping="hope", relational="relat", generously="generous", communication="communic", national="nation", agreed="agre", happy="happi", news="news", skies="sky", rate="rate", controlling="control", abilities="abil")
     assert {w: stem(w) for w in pairs} == pairs

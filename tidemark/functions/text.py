@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +36,56 @@ def title(text: Column, path: Column) -> Column:
     return F.when(heading != "", heading).otherwise(stem_)
 
 
+#: Bytes of texts that a Python worker turns into objects at a time, and characters of one text.
+SLICE_BYTES, PIECE = 1 << 20, 1 << 16
+
+
+def slices(rows: pa.Array) -> Iterator[pa.Array]:
+    """``rows`` in order, in parts of at most ``SLICE_BYTES`` or one row."""
+    if len(rows) < 2 or rows.nbytes <= SLICE_BYTES:
+        yield rows
+    else:
+        half = len(rows) // 2
+        yield from slices(rows[:half])
+        yield from slices(rows[half:])
+
+
+def on_slices(kind: T.DataType, change: Callable[[pa.Array], pa.Array]):
+    """A column function from ``change`` on Arrow arrays, whose memory doesn't grow with the batch."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in slices(batch):
+                yield change(part)
+
+    return run
+
+
 def normalise(name: str | None) -> str | None:
-    """Lower case, no accents or apostrophes; other marks but gender signs part words."""
+    """Lower case, no accents or apostrophes; other marks but gender signs part words.
+
+    A long text goes in pieces that end at a space, which no rule reaches across.
+    """
     if name is None:
         return None
-    bare = "".join(c for c in unicodedata.normalize("NFD", name.lower()) if not unicodedata.combining(c))
+    out, at = [], 0
+    while at < len(name):
+        end = name.find(" ", at + PIECE) + 1 or len(name)
+        out.append(_bare(name[at:end]))
+        at = end
+    return " ".join(filter(None, out))
+
+
+def _bare(name: str) -> str:
+    bare = name.lower()
+    if not bare.isascii():
+        bare = "".join(c for c in unicodedata.normalize("NFD", bare) if not unicodedata.combining(c))
     bare = re.sub("['’‘ʼ`]", "", bare)
     return " ".join(re.sub(r"[^\w♀♂]|_", " ", bare).split())
 
 
-@F.pandas_udf(T.StringType())
-def normalise_name(names: pd.Series) -> pd.Series:
-    return names.map(normalise)
+normalise_name = on_slices(T.StringType(), lambda names: pa.array(map(normalise, names.to_pylist()), pa.string(), size=len(names)))
 
 
 def entity_key(type_: Column, normalised: Column) -> Column:
