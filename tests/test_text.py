@@ -47,6 +47,17 @@ def test_stems():
     assert {w: stem(w) for w in pairs} == pairs
 
 
+def test_words_are_stemmed_once_a_slice(monkeypatch):
+    """Word lists stay in Arrow: Python sees the distinct words of a slice, not all."""
+    seen = []
+    monkeypatch.setattr(X, "stem", lambda w: seen.append(w) or stem(w))
+    lists = pa.array([["x"], ["running", "the", "runs"], None, [], ["the"], ["runs", "dogs"] * 1000, None], pa.list_(pa.string()))
+    got = X._stems(lists.slice(1))
+    assert got.to_pylist() == [["run", "run"], None, [], [], ["run", "dog"] * 1000, None]
+    assert sorted(seen) == ["dogs", "running", "runs"]
+    assert X._stems(lists.slice(0, 0)).to_pylist() == []
+
+
 def test_titles_and_ids(spark):
     rows = [("# One \ntext", "a/b.md", "One"), ("text\n# Two", "b.md", "Two"), ("## no", "x/some.name.md", "some.name"), (None, "n.md", "n"), ("#no", "plain", "plain")]
     df = spark.createDataFrame(rows, "t string, p string, e string")

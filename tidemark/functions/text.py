@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,14 +97,22 @@ def simple_terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: [stem(w) for w in ws if w not in STOP_WORDS] if ws is not None else None)
+def _stems(words: pa.Array) -> pa.Array:
+    """Each list's stems; a word is stemmed once a slice."""
+    said = words.flatten().dictionary_encode()
+    stems = pa.array([None if w in STOP_WORDS else stem(w) for w in said.dictionary.to_pylist()], pa.string()).take(said.indices)
+    ends = np.cumsum(words.value_lengths().fill_null(0).to_numpy())
+    kept = np.concatenate([[0], np.cumsum(stems.is_valid().to_numpy(zero_copy_only=False))])
+    offsets = kept[np.concatenate([[0], ends])].astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, stems.drop_null(), mask=words.is_null())
+
+
+_stem_lists = on_slices(T.ArrayType(T.StringType()), _stems)
 
 
 def english_terms(text: Column) -> Column:
     """Stems without stop words, in order."""
-    return _stems(simple_terms(text))
+    return _stem_lists(simple_terms(text))
 
 
 ANALYZERS = {"simple": simple_terms, "english": english_terms}
