@@ -164,6 +164,16 @@ def test_upsert_and_checks(spark):
     assert G.uncited_edges(got, spark.createDataFrame([("AC", "c")], "edge_id string, chunk_id string")).first().id == "AD"
 
 
+def test_upsert_keeps_the_first_and_sorts_once(spark):
+    one = lambda i, c, o: edges(spark, [("A", "B", "has_type", None, o)]).withColumn("id", F.lit(i)).withColumn("confidence", F.lit(c).cast("float"))
+    for old, new, first in ((("o", 0.5, "llm"), ("n", 0.5, "llm"), "o"), (("o", 0.5, "llm"), ("n", 0.6, "llm"), "n"), (("o", 0.5, "seed"), ("n", 0.6, "llm"), "o"), (("o", None, "llm"), ("n", 0.1, None), "o")):
+        got = G.upsert_edges(one(*old), one(*new))
+        assert [r.id for r in got.collect()] == [first], (old, new)
+    two = one("b", 0.5, "llm").union(one("a", 0.5, "llm"))
+    assert [r.id for r in G.upsert_edges(two, one("n", 0.5, "llm")).collect()] == ["a"]
+    assert "GroupLimit" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_resolution(spark):
     entities = spark.createDataFrame([("1", "aria", P, [1.0, 0.0]), ("2", "aria", "move", None), ("3", "bex", P, [0.0, 1.0])], "id string, normalized_name string, type string, embedding array<float>")
     aliases = spark.createDataFrame([("1", "songbird"), ("3", "songbird")], "entity_id string, normalized_alias string")

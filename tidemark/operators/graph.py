@@ -120,7 +120,8 @@ def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row a (source, relation, target): seed over llm, then the surer, then the old."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     order = Window.partitionBy("source_entity_id", "relation", "target_entity_id").orderBy((F.col("origin") == "seed").desc(), F.desc("confidence"), "_new", "id")
-    return both.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_new")
+    # By lag, as of a rank Spark would sort all rows before the shuffle too, in partitions whose short rows just became long.
+    return both.withColumn("_first", F.lag(F.lit(True)).over(order).isNull()).filter("_first").drop("_first", "_new")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...]) -> DataFrame:
