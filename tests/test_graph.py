@@ -164,6 +164,11 @@ def test_upsert_and_checks(spark):
     assert G.uncited_edges(got, spark.createDataFrame([("AC", "c")], "edge_id string, chunk_id string")).first().id == "AD"
 
 
+def test_orphans_read_each_end_of_an_edge_in_one_pass(spark, sf_dir):
+    plan = registry.orphan_collection(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_") <= 30  # 49 with a pass for either end
+
+
 def test_upsert_keeps_the_first_and_sorts_once(spark):
     one = lambda i, c, o: edges(spark, [("A", "B", "has_type", None, o)]).withColumn("id", F.lit(i)).withColumn("confidence", F.lit(c).cast("float"))
     for old, new, first in ((("o", 0.5, "llm"), ("n", 0.5, "llm"), "o"), (("o", 0.5, "llm"), ("n", 0.6, "llm"), "n"), (("o", 0.5, "seed"), ("n", 0.6, "llm"), "o"), (("o", None, "llm"), ("n", 0.1, None), "o")):

@@ -148,7 +148,9 @@ def collect_orphans(entities: DataFrame, edges: DataFrame, chunk_entities: DataF
     """(entities, edges) left: llm edges need provenance; then entities a mention or an edge."""
     proven = edges.join(edge_chunks.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi")
     kept = edges.filter("origin = 'seed'").unionByName(proven.filter("origin <> 'seed'"))
-    used = chunk_entities.select(F.col("entity_id").alias("id")).union(kept.select("source_entity_id")).union(kept.select("target_entity_id")).distinct()
+    # Ids are made distinct before they are united, and both ends of an edge come from one pass.
+    ends = kept.select(F.explode(F.array("source_entity_id", "target_entity_id")).alias("id")).distinct()
+    used = chunk_entities.select(F.col("entity_id").alias("id")).distinct().union(ends)
     return entities.join(used, "id", "left_semi"), kept
 
 
