@@ -169,6 +169,19 @@ def test_orphans_read_each_end_of_an_edge_in_one_pass(spark, sf_dir):
     assert plan.count("Relation [l_") <= 30  # 49 with a pass for either end
 
 
+def test_walk_filters_the_scan_by_few_ids(spark, sf_dir, monkeypatch):
+    """A hop joins below the aggregation of edges; ids that are many are shuffled, with the same rows."""
+    links = W.both_ways(registry.star.edges(spark, sf_dir))
+    plan = W._among(links, spark.createDataFrame([("s:1",)], "from_id string"), "from_id")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    under = [k for k, x in enumerate(lines) if "Aggregate" in x]
+    assert plan.count("Join LeftSemi") > 1 and under and all(any("Join LeftSemi" in x for x in lines[k + 1 : k + 4]) for k in under)
+    queries = (registry.graph_arm, registry.graph_reached_chunks)
+    few = [sorted(map(tuple, q(spark, sf_dir).collect())) for q in queries]
+    monkeypatch.setattr(W, "SENT_BYTES", -1)
+    assert few == [sorted(map(tuple, q(spark, sf_dir).collect())) for q in queries]
+
+
 def test_upsert_keeps_the_first_and_sorts_once(spark):
     one = lambda i, c, o: edges(spark, [("A", "B", "has_type", None, o)]).withColumn("id", F.lit(i)).withColumn("confidence", F.lit(c).cast("float"))
     for old, new, first in ((("o", 0.5, "llm"), ("n", 0.5, "llm"), "o"), (("o", 0.5, "llm"), ("n", 0.6, "llm"), "n"), (("o", 0.5, "seed"), ("n", 0.6, "llm"), "o"), (("o", None, "llm"), ("n", 0.1, None), "o")):

@@ -14,6 +14,21 @@ from ..options import FactOptions, WalkOptions
 from ..session import settle
 
 
+#: Bytes of ids that may be sent to every task.
+SENT_BYTES = 32 << 20
+
+
+def _short(rows: DataFrame, id_col: str) -> bool:
+    """Whether ``rows`` can be sent to every task, so that a join with them filters a scan and shuffles nothing."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(id_col).cast("string"))), F.lit(0))).first()
+    return size + 40 * n <= SENT_BYTES
+
+
+def _among(rows: DataFrame, ids: DataFrame, column: str, short: bool | None = None) -> DataFrame:
+    """``rows`` whose ``column`` is among ``ids``; few ids are looked up where the rows are read."""
+    return rows.join(F.broadcast(ids) if (_short(ids, column) if short is None else short) else ids, column, "left_semi")
+
+
 def both_ways(edges: DataFrame, relations: tuple[str, ...] | None = None) -> DataFrame:
     """(from_id, to_id, confidence) of every edge and its reverse."""
     kept = edges if relations is None else edges.filter(F.col("relation").isin(*relations))
@@ -38,7 +53,7 @@ def expand(seeds: DataFrame, edges: DataFrame, options: WalkOptions = WalkOption
     frontier = settle(cheapest(start))
     visited = frontier
     for hop in range(1, options.max_hops + 1):
-        step = links.join(frontier.select(F.col("entity_id").alias("from_id")), "from_id")
+        step = _among(links, frontier.select(F.col("entity_id").alias("from_id")), "from_id")
         step = step.groupBy(F.col("to_id").alias("entity_id")).agg(F.count_distinct("from_id").alias("weight"), F.max("confidence").alias("confidence"))
         fresh = step.join(visited.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit(hop).alias("hops"), "weight", "confidence")
         frontier = settle(cheapest(fresh))
@@ -51,7 +66,7 @@ def expand(seeds: DataFrame, edges: DataFrame, options: WalkOptions = WalkOption
 
 def seed_entities(seed_chunks: DataFrame, chunk_entities: DataFrame) -> DataFrame:
     """(entity_id, mentions) of the entities that the seed chunks mention."""
-    return chunk_entities.join(seed_chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("entity_id").agg(F.sum("mentions").alias("mentions"))
+    return _among(chunk_entities, seed_chunks.select("chunk_id").distinct(), "chunk_id").groupBy("entity_id").agg(F.sum("mentions").alias("mentions"))
 
 
 def reached_chunks(reached: DataFrame, chunk_entities: DataFrame, seed_chunks: DataFrame, include_seeds: bool = True) -> DataFrame:
@@ -59,7 +74,11 @@ def reached_chunks(reached: DataFrame, chunk_entities: DataFrame, seed_chunks: D
 
     An entity counts once, at its least distance, so mentions aren't overcounted.
     """
-    near = chunk_entities.join(reached.select("entity_id", "hops", "confidence"), "entity_id")
+    at = reached.select("entity_id", "hops", "confidence")
+    if _short(reached, "entity_id"):
+        near = _among(chunk_entities, reached.select("entity_id"), "entity_id", short=True).join(F.broadcast(at), "entity_id")
+    else:
+        near = chunk_entities.join(at, "entity_id")
     found = near.groupBy("chunk_id").agg(F.min("hops").alias("hops"), F.max("confidence").alias("confidence"), F.sum("mentions").alias("mentions"))
     marked = found.join(seed_chunks.select("chunk_id", F.lit(True).alias("_s")).distinct(), "chunk_id", "left").select("chunk_id", "hops", "confidence", "mentions", F.coalesce("_s", F.lit(False)).alias("is_seed"))
     return marked if include_seeds else marked.filter("not is_seed")
